@@ -225,9 +225,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     named = spark.createDataFrame([(s.name, i, s.size, s.target) for i, s in enumerate(sources)], schema)
     numbered = rows.join(F.broadcast(named), rows["source"].eqNullSafe(named["source"])).drop(named["source"])
     laid = running_offsets(numbered, "src", ["id", "h"], "size", "offset")
-    last = F.col("offset") + F.col("size") - 1
     first = F.col("offset")
-    parts = laid.where("size > 0").select("id", "h", "src", "offset", "size", F.explode(F.sequence(F.floor(first / block), F.floor(last / block))).alias("block"))
+    parts = laid.where("size > 0").select("id", "h", "src", "offset", "size", F.explode(F.expr(f"sequence(offset div {block}, (offset + size - 1) div {block})")).alias("block"))
     begin = F.greatest(F.col("block") * block, first)
     segments = parts.select("*", (begin - first).alias("at"), (begin - F.col("block") * block).alias("skip"), (F.least((F.col("block") + 1) * block, first + F.col("size")) - begin).alias("n"))
     return Mix(laid, segments, slots(spark, sources, seed, block), sources)
@@ -266,7 +265,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clean = docs.withColumn("_h", _mark(text)).dropDuplicates([id_col, "_h"])
     m = mix(clean.drop("_h"), id_col, text_col, source_col, seed)
     spans = takes(m).where("whole > 0 or part > 0").groupBy("id", "h").agg(F.collect_list(F.struct("at", "n", "whole", "part")).alias("_spans"), F.max("size").alias("_size"))
-    joined = clean.join(spans, clean[id_col].eqNullSafe(spans["id"]) & (clean["_h"] == spans["h"]), "left").drop("id", "h") if id_col != "id" else clean.join(spans.withColumnRenamed("id", "_id"), clean[id_col].eqNullSafe(F.col("_id")) & (clean["_h"] == spans["h"]), "left").drop("_id", "h")
+    spans = spans.withColumnsRenamed({"id": "_id", "h": "_hash"})
+    joined = clean.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left").drop("_id", "_hash")
     joined = joined.where(F.col("_spans").isNotNull() | ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")).drop("_h")
     arrow_rows(spark)
     names = docs.columns

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from boxlake.llm.common import arrow_rows, mixed, save, text_parts, words
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS, LOW_BITS = 28, 6, 8
-#: A pair is looked at on full sets if its estimate is at least the threshold less this (seven standard errors).
+BANDS, ROWS, LOW_BITS = 40, 8, 8
+#: A pair is looked at on full sets if its estimate is at least the threshold less this (ten standard errors).
 SLACK = 0.2
 #: Nodes of a bucket that are compared with all of it in one round.
 HUBS = 8
@@ -103,8 +103,8 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(sign, f"id {kind}, n_shingles long, print binary, bands array<long>, bits binary")
 
 
-def _near(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose estimate is not far below the threshold, with it."""
+def _near(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, x, b, y) with signatures x and y: (a, b, estimate) where the estimate is not far below the threshold."""
     least = percent / 100 - SLACK
     kind = pairs.schema["a"].dataType.simpleString()
 
@@ -115,8 +115,7 @@ def _near(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(e)], names=["a", "b", "estimate"])
             yield out.filter(pa.array(e >= least))
 
-    both = pairs.join(signs.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(signs.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(test, f"a {kind}, b {kind}, estimate double")
+    return pairs.select("a", "b", "x", "y").mapInArrow(test, f"a {kind}, b {kind}, estimate double")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -194,36 +193,39 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, shin
     """(node, component) of the nodes that are linked with others."""
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
-    members = save(banded.join(shared, "key"), "members")  # key, node, hub
-    signs = nodes.select("node", "bits")
+    members = save(banded.join(shared, "key").join(nodes.select("node", "bits"), "node"), "members")  # node, key, hub, bits
 
     # first round: each node with the most similar of the least nodes of its buckets
-    pairs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    near = save(_near(pairs, signs, percent), "near")
-    best = near.groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    hubs = members.where("node = hub").select("key", F.col("node").alias("a"), F.col("bits").alias("x"))
+    pairs = members.where("node <> hub").select("key", F.col("node").alias("b"), F.col("bits").alias("y")).join(hubs, "key")
+    best = _near(pairs, percent).groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    best = save(best, "best")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     wanted = members.select("node").distinct()
-    texts = docs.select(F.col(id_col).alias("node"), text.alias("t")).join(wanted, "node", "left_semi").dropDuplicates(["node", "t"])
-    texts = save(texts, "texts")
+    texts = save(docs.select(F.col(id_col).alias("node"), text.alias("t")).join(wanted, "node", "left_semi").dropDuplicates(["node", "t"]), "texts")
     links = save(_confirmed(best, texts, shingle, percent), "links")
     component = components(links)
-    members = members.select("key", "node")
+    members = members.select("key", "node", "bits")
     tested = best.select(*_ordered(F.col("a"), F.col("b")))
     while True:
-        labelled = members.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        mixed_keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        labelled = save(labelled.join(mixed_keys, "key", "left_semi"), "open")
+        labelled = members.join(component, "node", "left").select("key", "node", "bits", F.coalesce("component", "node").alias("c"))
+        open_keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        labelled = save(labelled.join(open_keys, "key", "left_semi"), "open")
         if labelled.isEmpty():
             return component
         largest = labelled.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
-        hubs = labelled.join(largest, "key").where("c <> main").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("place")).agg(F.min(F.struct("node", "c")).alias("m"))
-        hubs = save(hubs.select("key", F.col("m.node").alias("hub"), F.col("m.c").alias("hub_c")), "hubs")
-        across = labelled.join(hubs, "key").where("c <> hub_c").select(*_ordered(F.col("hub"), F.col("node"))).distinct()
-        fresh = save(_near(across.join(tested, ["a", "b"], "left_anti"), signs, percent), "near").select("a", "b")
-        tested = tested.unionByName(fresh)
-        links = save(links.unionByName(_confirmed(fresh, texts, shingle, percent)), "links")
-        component = components(links)
-        members = save(labelled.select("key", "node").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti"), "members")
+        hubs = labelled.join(largest, "key").where("c <> main").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("place")).agg(F.min(F.struct("node", "c", "bits")).alias("m"))
+        hubs = save(hubs.select("key", F.col("m.node").alias("a"), F.col("m.c").alias("hub_c"), F.col("m.bits").alias("x")), "hubs")
+        across = labelled.join(hubs, "key").where("c <> hub_c").select("a", "x", F.col("node").alias("b"), F.col("bits").alias("y"))
+        near = _near(across, percent).select(*_ordered(F.col("a"), F.col("b"))).distinct()
+        fresh = save(near.join(tested, ["a", "b"], "left_anti"), "near")
+        members = save(labelled.select("key", "node", "bits").join(hubs.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"), "members")
+        if not fresh.isEmpty():
+            tested = tested.unionByName(fresh)
+            more = save(_confirmed(fresh, texts, shingle, percent), "links")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                component = components(links)
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -23,10 +23,12 @@ from boxlake.llm.common import arrow_rows, mixed, save, text_parts, words
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, LOW_BITS = 40, 8, 8
-#: A pair is looked at on full sets if its estimate is at least the threshold less this (ten standard errors).
-SLACK = 0.2
-#: Nodes of a bucket that are compared with all of it in one round.
-HUBS = 8
+#: A pair is looked at on full sets if its estimate is at least the threshold less this (five standard errors).
+SLACK = 0.1
+#: Nodes of a bucket that are compared with all of it in one round, and rows of a part of a large bucket, about.
+HUBS, PART = 256, 256
+#: Bytes of shingle sets that a task keeps for further pairs.
+KEPT_BYTES = 1 << 26
 
 _K = BANDS * ROWS
 _random = np.random.Generator(np.random.PCG64(85))
@@ -118,17 +120,72 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(test, f"a {kind}, b {kind}, estimate double")
 
 
+def _across(hubs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of a hub and a member of its bucket in different components, if the estimate lets them through.
+
+    Both tables are (key, part, c, node, bits); the members of a bucket are dealt over parts of bounded size and its hubs
+    are in each. Signatures are compared within the task: pairs that fail are never rows.
+    """
+    least = percent / 100 - SLACK
+    kind = members.schema["node"].dataType.simpleString()
+    both = members.select("key", "part", F.lit(False).alias("hub"), "c", "node", "bits").unionByName(hubs.select("key", "part", F.lit(True).alias("hub"), "c", "node", "bits"))
+    both = both.repartition("key", "part").sortWithinPartitions("key", "part")
+
+    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        hub = t["hub"].to_numpy()
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(-1, _K)
+        c, node, x, y = t["c"].to_numpy(), t["node"].to_numpy(), np.flatnonzero(hub), np.flatnonzero(~hub)
+        found = []
+        for a in range(0, len(x), 16):
+            some = x[a : a + 16]
+            for z in range(0, len(y), 512):
+                other = y[z : z + 512]
+                share = (bits[some, None, :] == bits[None, other, :]).mean(axis=2)
+                i, j = np.nonzero(((share - 2.0**-LOW_BITS) / (1 - 2.0**-LOW_BITS) >= least) & (c[some, None] != c[None, other]))
+                found.append((node[some[i]], node[other[j]]))
+        m, n = (np.concatenate([f[k] for f in found]) if found else node[:0] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(m, n)), pa.array(np.maximum(m, n))], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        group = None
+        for b in batches:
+            key, part = b.column(0).to_numpy(), b.column(1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]) if len(key) else []
+            for a, z in zip(starts, [*starts[1:], len(key)], strict=True):
+                if held and (key[a], part[a]) != group:
+                    yield pairs(held)
+                    held = []
+                group = key[a], part[a]
+                held.append(b.slice(a, z - a))
+        if held:
+            yield pairs(held)
+
+    return both.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union on the full sets of their whole texts."""
     kind = pairs.schema["a"].dataType.simpleString()
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, str], np.ndarray] = {}
+        size = 0
         for b in batches:
-            sides = [[s for _, _, buf, offsets in text_parts(b.column(i)) for s in shingle_sets(buf, offsets, k)] for i in (2, 3)]
             good = []
-            for x, y in zip(*sides, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            for a, z, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sets = []
+                for name in ((a, x), (z, y)):
+                    if name not in kept:
+                        if size > KEPT_BYTES:
+                            kept, size = {}, 0
+                        raw = np.frombuffer(name[1].encode(), np.uint8)
+                        kept[name] = shingle_sets(raw, np.array([0, len(raw)]), k)[0]
+                        size += kept[name].nbytes + len(raw)
+                    sets.append(kept[name])
+                both = len(np.intersect1d(*sets, assume_unique=True))
+                good.append(both > 0 and 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("y")), "b")
@@ -213,13 +270,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, shin
         labelled = save(labelled.join(open_keys, "key", "left_semi"), "open")
         if labelled.isEmpty():
             return component
-        largest = labelled.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
-        hubs = labelled.join(largest, "key").where("c <> main").groupBy("key", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("place")).agg(F.min(F.struct("node", "c", "bits")).alias("m"))
-        hubs = save(hubs.select("key", F.col("m.node").alias("a"), F.col("m.c").alias("hub_c"), F.col("m.bits").alias("x")), "hubs")
-        across = labelled.join(hubs, "key").where("c <> hub_c").select("a", "x", F.col("node").alias("b"), F.col("bits").alias("y"))
-        near = _near(across, percent).select(*_ordered(F.col("a"), F.col("b"))).distinct()
+        largest = labelled.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"))
+        largest = largest.select("key", F.col("m.c").alias("main"), F.expr(f"cast(ceil(n / {PART}) as int)").alias("parts"))
+        placed = save(labelled.join(largest, "key"), "placed")
+        hubs = placed.where("c <> main").groupBy("key", "parts", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("place")).agg(F.min(F.struct("node", "c", "bits")).alias("m"))
+        hubs = save(hubs.select("key", "parts", "m.*"), "hubs")
+        dealt = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
+        near = _across(hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), dealt, percent)
         fresh = save(near.join(tested, ["a", "b"], "left_anti"), "near")
-        members = save(labelled.select("key", "node", "bits").join(hubs.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti"), "members")
+        members = save(labelled.select("key", "node", "bits").join(hubs.select("key", "node"), ["key", "node"], "left_anti"), "members")
         if not fresh.isEmpty():
             tested = tested.unionByName(fresh)
             more = save(_confirmed(fresh, texts, shingle, percent), "links")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.llm.common import arrow_rows, mixed, save, text_parts, words
@@ -123,18 +123,21 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
 def _across(hubs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of a hub and a member of its bucket in different components, if the estimate lets them through.
 
-    Both tables are (key, part, c, node, bits); the members of a bucket are dealt over parts of bounded size and its hubs
+    Both tables are (key, part, c, node, bits, bands). A pair that shares several buckets comes from the first of them
+    only, so each comes once (twice, where both are hubs). The members of a bucket are dealt over parts of bounded size and its hubs
     are in each. Signatures are compared within the task: pairs that fail are never rows.
     """
     least = percent / 100 - SLACK
     kind = members.schema["node"].dataType.simpleString()
-    both = members.select("key", "part", F.lit(False).alias("hub"), "c", "node", "bits").unionByName(hubs.select("key", "part", F.lit(True).alias("hub"), "c", "node", "bits"))
+    both = members.select("key", "part", F.lit(False).alias("hub"), "c", "node", "bits", "bands").unionByName(hubs.select("key", "part", F.lit(True).alias("hub"), "c", "node", "bits", "bands"))
     both = both.repartition("key", "part").sortWithinPartitions("key", "part")
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         hub = t["hub"].to_numpy()
         bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(-1, _K)
+        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        key = t["key"][0].as_py()
         c, node, x, y = t["c"].to_numpy(), t["node"].to_numpy(), np.flatnonzero(hub), np.flatnonzero(~hub)
         found = []
         for a in range(0, len(x), 16):
@@ -143,7 +146,10 @@ def _across(hubs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 other = y[z : z + 512]
                 share = (bits[some, None, :] == bits[None, other, :]).mean(axis=2)
                 i, j = np.nonzero(((share - 2.0**-LOW_BITS) / (1 - 2.0**-LOW_BITS) >= least) & (c[some, None] != c[None, other]))
-                found.append((node[some[i]], node[other[j]]))
+                i, j = some[i], other[j]
+                first = (bands[i] == bands[j]).argmax(axis=1)
+                here = bands[i, first] == key
+                found.append((node[i[here]], node[j[here]]))
         m, n = (np.concatenate([f[k] for f in found]) if found else node[:0] for k in (0, 1))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(m, n)), pa.array(np.maximum(m, n))], names=["a", "b"])
 
@@ -222,10 +228,6 @@ def components(links: DataFrame) -> DataFrame:
             return total
 
 
-def _ordered(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Group near-duplicates: (id, n_shingles long, component_id, kept boolean), one row per input row.
 
@@ -250,7 +252,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, shin
     """(node, component) of the nodes that are linked with others."""
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
-    members = save(banded.join(shared, "key").join(nodes.select("node", "bits"), "node"), "members")  # node, key, hub, bits
+    members = save(banded.join(shared, "key").join(nodes.select("node", "bits", "bands"), "node"), "members")  # node, key, hub, bits, bands
 
     # first round: each node with the most similar of the least nodes of its buckets
     hubs = members.where("node = hub").select("key", F.col("node").alias("a"), F.col("bits").alias("x"))
@@ -262,10 +264,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, shin
     texts = save(docs.select(F.col(id_col).alias("node"), text.alias("t")).join(wanted, "node", "left_semi").dropDuplicates(["node", "t"]), "texts")
     links = save(_confirmed(best, texts, shingle, percent), "links")
     component = components(links)
-    members = members.select("key", "node", "bits")
-    tested = best.select(*_ordered(F.col("a"), F.col("b")))
+    members = members.select("key", "node", "bits", "bands")
     while True:
-        labelled = members.join(component, "node", "left").select("key", "node", "bits", F.coalesce("component", "node").alias("c"))
+        labelled = members.join(component, "node", "left").select("key", "node", "bits", "bands", F.coalesce("component", "node").alias("c"))
         open_keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         labelled = save(labelled.join(open_keys, "key", "left_semi"), "open")
         if labelled.isEmpty():
@@ -273,14 +274,13 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, shin
         largest = labelled.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"))
         largest = largest.select("key", F.col("m.c").alias("main"), F.expr(f"cast(ceil(n / {PART}) as int)").alias("parts"))
         placed = save(labelled.join(largest, "key"), "placed")
-        hubs = placed.where("c <> main").groupBy("key", "parts", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("place")).agg(F.min(F.struct("node", "c", "bits")).alias("m"))
+        hubs = placed.where("c <> main").groupBy("key", "parts", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("place")).agg(F.min(F.struct("node", "c", "bits", "bands")).alias("m"))
         hubs = save(hubs.select("key", "parts", "m.*"), "hubs")
         dealt = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
         near = _across(hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), dealt, percent)
-        fresh = save(near.join(tested, ["a", "b"], "left_anti"), "near")
-        members = save(labelled.select("key", "node", "bits").join(hubs.select("key", "node"), ["key", "node"], "left_anti"), "members")
+        fresh = save(near, "near")
+        members = save(labelled.select("key", "node", "bits", "bands").join(hubs.select("key", "node"), ["key", "node"], "left_anti"), "members")
         if not fresh.isEmpty():
-            tested = tested.unionByName(fresh)
             more = save(_confirmed(fresh, texts, shingle, percent), "links")
             if not more.isEmpty():
                 links = links.unionByName(more)

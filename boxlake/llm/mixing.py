@@ -293,10 +293,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def taken_text(text: str, spans: Sequence[tuple[int, int, int, int]]) -> str:
-    """The spans' words in order, again for each further take; cut takes come last."""
+    """The spans' words in order, again for each further take; cut takes come last. It ends with its last word."""
     raw = text.encode()
     _, _, starts, _ = words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), want_spans=True)
     edge = [*starts.tolist(), len(raw)]
     parts = [raw[edge[a] : edge[a + n]] for k in range(max(x[2] for x in spans)) for a, n, whole, _ in spans if whole > k]
     parts += [raw[edge[a] : edge[a + p]] for a, _, _, p in spans if p]
-    return b"".join(x if x[-1:].isspace() else x + b"\n" for x in parts).decode().removesuffix("\n")
+    return b"".join(x if x[-1:].isspace() else x + b"\n" for x in parts).rstrip().decode()

@@ -135,6 +135,26 @@ def sequence_parameters(unit: bytes) -> dict | None:
         return None
 
 
+def slice_frame_number(unit: bytes, width: int) -> int | None:
+    """Frame number of a slice (unit types 1, 2 and 5) whose parameter set gives it ``width`` bits."""
+    if not unit or unit[0] & 31 not in (1, 2, 5):
+        return None
+    b = Bits(raw_payload(unit[:64])[1:])
+    try:
+        _first, _kind, _parameters = b.unsigned(), b.unsigned(), b.unsigned()
+        return b.read(width)
+    except EOFError:
+        return None
+
+
+def enhancement(unit: bytes) -> dict | None:
+    """Type, length and place of the payload of a unit's first enhancement message; both are sums that go on after 255."""
+    m = re.match(rb"(\xff*)([^\xff])(\xff*)([^\xff])", unit[1:], re.DOTALL)
+    if not m:
+        return None
+    return {"type": 255 * len(m[1]) + m[2][0], "length": 255 * len(m[3]) + m[4][0], "at": 1 + m.end()}
+
+
 def audio_config(data: bytes) -> dict | None:
     """Object type, rate and channels of an AudioSpecificConfig."""
     try:
@@ -240,6 +260,7 @@ def column(f: Callable, kind: str) -> Callable[[Column | str], Column]:
 
 
 sps_column = column(sequence_parameters, "struct<profile:int,compatible:int,level:int,width:int,height:int,interlaced:boolean>")
+enhancement_column = column(enhancement, "struct<type:int,length:int,at:int>")
 ac3_column = column(ac3_frame, "struct<rate:int,kbits:int,mode:int,channels:int,lfe:boolean>")
 aac_column = column(audio_config, "struct<object_type:int,rate:int,channels:int>")
 adts_column = column(without_adts, "binary")

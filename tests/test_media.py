@@ -7,8 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from boxlake.functions import bits, runs, time
-from boxlake.operators import index, mux
+from boxlake.functions import bits, eac3, runs, time
+from boxlake.operators import index, mux, playback
 from boxlake.plans.contract import ORACLE_SQL, QUERIES
 from boxlake.sources import boxes, recovery, writer
 from boxlake.streaming.chunks import chunk_stream
@@ -166,6 +166,76 @@ def test_codecs(spark):
     assert [r.w for r in df.select(bits.sps_column("d").alias("s")).select(F.col("s.width").alias("w")).collect()] == [720, None, None]
 
 
+def test_slices_and_enhancements(spark):
+    golomb = lambda n: (n + 1, 2 * (n + 1).bit_length() - 1)
+    body = bits.write_bits([golomb(0), golomb(7), golomb(2), (9, 4), (0xFFFF, 16)])
+    assert [bits.slice_frame_number(bytes([k]) + body, 4) for k in (0x65, 0x61, 0x67)] == [9, 9, None]
+    assert bits.slice_frame_number(b"", 4) is None and bits.slice_frame_number(b"\x65", 4) is None
+    assert bits.enhancement(b"\x06" + b"\xff" * 2 + b"\x05" + b"\xff\x00" + bytes(255)) == {"type": 515, "length": 255, "at": 6}
+    assert bits.enhancement(b"\x06\x0a\x03abc") == {"type": 10, "length": 3, "at": 3} and bits.enhancement(b"\x06\xff") is None
+    df = spark.createDataFrame([(b"\x06\x05\x03abc",), (None,), (b"",)], "d binary")
+    assert [r.n for r in df.select(bits.enhancement_column("d").alias("s")).select(F.col("s.length").alias("n")).collect()] == [3, None, None]
+
+
+def eac3_frame(kind, substream, size, mode=7, lfe=1, tail=(), rate=(0, 3)):
+    """Header fields up to the place of a dependent frame's map, then ``tail``, padded to ``size`` bytes."""
+    head = [(0x0B77, 16), (kind, 2), (substream, 3), (size // 2 - 1, 11), (rate[0], 2), (rate[1], 2), (mode, 3), (lfe, 1), (16, 5)]
+    head += [(27, 5), (0, 1)] * (2 if mode == 0 else 1)
+    return bits.write_bits([*head, *tail]).ljust(size, b"\0")
+
+
+def test_enhanced_ac3(spark):
+    plain = eac3_frame(0, 0, 768, tail=[(0, 1), (1, 1), (5, 3)])
+    assert eac3.frame(plain) == {"kind": 0, "substream": 0, "size": 768, "rate_code": 0, "rate": 48000, "blocks": 6, "bitrate": 192000, "mode": 7, "lfe": True, "stream": 16, "locations": 0, "service": 5}
+    low = eac3.frame(eac3_frame(0, 0, 100, rate=(3, 1)))
+    assert (low["rate"], low["blocks"], low["service"]) == (22050, 6, 0)
+    assert eac3.frame(eac3_frame(0, 0, 100, rate=(3, 3))) is None and eac3.frame(plain[:4]) is None and eac3.frame(b"\0" * 99) is None
+    # All mixing fields of five channels: levels, a flagged level, two flagged scales, option 3 of 4 bytes, six flagged blocks.
+    mixing = [(1, 1), (0, 2), (0, 6), (0, 6), (1, 1), (31, 5), (1, 1), (63, 6), (0, 1), (3, 2), (2, 5), (0xFFFFFFFF, 32), (1, 1), *[(1, 1), (31, 5)] * 6]
+    assert eac3.frame(eac3_frame(0, 0, 768, tail=[*mixing, (1, 1), (6, 3)]))["service"] == 6
+    dual = [(1, 1), (1, 1), (63, 6), (0, 1), (0, 1), (1, 2), (31, 5), (1, 1), (0x3FFF, 14), (0, 1), (1, 1), (31, 5)]
+    assert eac3.frame(eac3_frame(0, 0, 96, mode=0, lfe=0, tail=[*dual, (1, 1), (3, 3)], rate=(0, 0)))["service"] == 3
+    side = eac3_frame(1, 0, 384, tail=[(1, 1), (0x4020, 16), (0, 1), (0, 1)])
+    assert eac3.frame(side)["locations"] == 0x101
+    assert [(h["kind"], h["substream"]) for h in eac3.substreams(plain + side + eac3_frame(0, 1, 100) + plain + b"junk")] == [(0, 0), (1, 0), (0, 1)]
+    assert eac3.substreams(plain + b"junk") is None and eac3.substreams(b"") == []
+    assert eac3.decoder_box([eac3.frame(plain)]) == bits.write_bits([(192, 13), (0, 3), (0, 2), (16, 5), (5, 5), (7, 3), (1, 1), (0, 3), (0, 4), (0, 1)])
+    assert eac3.decoder_box(eac3.substreams(plain + side)) == bits.write_bits([(288, 13), (0, 3), (0, 2), (16, 5), (5, 5), (7, 3), (1, 1), (0, 3), (1, 4), (0x101, 9)])
+    df = table(spark, [(1, b"late"), (0, plain + side)], "sample long, data binary").union(spark.createDataFrame([(2, 0, b"no"), (3, 0, None)], "track long, sample long, data binary"))
+    found = eac3.substream_table(df).cache()
+    assert [(r.track, r.frame, r.kind, r.lfe) for r in found.orderBy("frame").collect()] == [(1, 0, 0, True), (1, 1, 1, True)]
+    assert [tuple(r) for r in eac3.independent_substreams(found).select("substream", "n_dependent", "locations").collect()] == [(0, 1, 0x101)]
+    assert [tuple(r) for r in eac3.track_rates(found).collect()] == [(1, 288_000, 1)]
+
+
+def test_shed_late(spark):
+    def slow(rows, rate, last):
+        out, k = [], 0
+        while k < len(rows):
+            n, cts, dur, _, late = rows[k]
+            frame = int(dur / rate)
+            late = (late or 0) + (frame if (late or 0) > 2 * frame else 0)
+            while late > frame // 2:
+                after = next((j for j in range(k + 1, len(rows)) if rows[j][3]), None)
+                if after is None or (last is not None and rows[after][0] > last):
+                    break
+                way = int((rows[after][1] - rows[k][1]) / rate)
+                if rows[after][0] != rows[k][0] + 1 and int(way / 2) >= late:
+                    break
+                late, k = late - way, after
+            out.append(rows[k][0])
+            k += 1
+        return out
+
+    rng = random.Random(3)
+    for rate, last in ((1.0, None), (2.0, None), (1.0, 60)):
+        rows = [(i, i * 400, 400, rng.random() < 0.3, rng.choice([None, 0, 150, 500, 900, 2500])) for i in range(120)]
+        df = table(spark, rows, "sample long, cts long, dur long, sync boolean, late long").withColumn("_k", F.lit("x"))
+        got = playback.shed_late(df.withColumnRenamed("_k", "next"), rate, last)
+        assert [x for (x,) in values(got, "sample")] == slow(rows, rate, last) and got.columns[-1] == "next"
+    assert playback.shed_late(df.where("false").drop("_k")).count() == 0
+
+
 def test_chunk_stream(spark, tmp_path):
     rows = [(1, i, i * 10, None, 200_000, i == 6) for i in range(7)] + [(2, 0, 5, 9, 1, False)]
     df = spark.createDataFrame(rows, "track long, sample long, t long, stop long, size long, last boolean")

@@ -107,15 +107,16 @@ def held_out(id_: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, sample: int) -> DataFrame:
     """(id, y, text) of about ``sample`` labelled rows (all, if there are fewer), chosen by a hash of the id.
 
-    Of contradicting labels of one id, the larger holds. The chosen ids are at most about ``sample``, so they may be
-    broadcast: the texts are not shuffled.
+    Of contradicting labels of one id, the larger holds; of repeated rows of one id, the greatest text, so the sample is
+    bounded however often an id is repeated. The chosen ids are at most about ``sample``, so they may be broadcast: no
+    other texts are shuffled.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
     known = settle(known)
     total = known.count()
     share = min(1.0, sample / max(1, total))
     chosen = known.where(F.pmod(F.xxhash64(F.col("_id")), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "_id").select("_id", "y", "t")
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.max("y").alias("y"), F.max("t").alias("t"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> Model:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens int, id string, spans int, size int, node long, key long"
@@ -183,6 +184,16 @@ def test_classifiers_on_held_out_rows(spark, docs, empty, kind):
     assert op(empty, labels).collect() == []
 
 
+def test_labelled_sample_takes_an_id_once(spark):
+    from boxlake.llm.toxicity import held_out, labelled_sample
+
+    docs = spark.createDataFrame([(i % 4, None if i < 4 else f"t{i}") for i in range(400)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 4, i // 4 % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", "doc_id", "text", 100).orderBy("_id").collect()
+    known = [r[0] for r in spark.range(4).where(~held_out(F.col("id"))).orderBy("id").collect()]
+    assert known and [tuple(r) for r in got] == [(i, 1, max(f"t{k}" for k in range(i + 4, 400, 4))) for i in known]
+
+
 def test_keep_good(spark):
     from boxlake.llm.quality import keep_good, quality
 

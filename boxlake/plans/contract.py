@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from boxlake.functions import runs
+from boxlake.functions import eac3, runs
 from boxlake.functions.time import snapped_frame_duration
-from boxlake.operators import index, mux
+from boxlake.operators import index, mux, playback
 
 SCALE = 90_000
 MINUTE = SCALE * 60
@@ -290,3 +290,54 @@ _RATES = "96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000,
 def codec_lookup(spark, sf_dir):
     table = spark.createDataFrame(list(enumerate(map(int, _RATES.split(",")))), "code long, hz long")
     return media(spark, sf_dir).withColumn("code", F.col("size") % 16).join(F.broadcast(table), "code", "left").select("track", "sample", F.coalesce("hz", F.lit(0).cast("long")).alias("hz"))
+
+
+_FRAMES = """
+, frames AS (SELECT track, sample % 8 AS substream, sample >= 8 AS dependent, size, size % 512 AS locations FROM m)
+"""
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks as substreams: the first eight samples are independent ones, the others depend on them by turns."""
+    return media(spark, sf_dir).select(
+        "track", (F.col("sample") % 8).alias("substream"), F.when(F.col("sample") < 8, eac3.INDEPENDENT).otherwise(eac3.DEPENDENT).alias("kind"),
+        F.lit(7).alias("mode"), F.lit(True).alias("lfe"), F.lit(48_000).alias("rate"), F.col("size").alias("bitrate"), (F.col("size") % 512).alias("locations"),
+    )
+
+
+@query(_FRAMES + """
+SELECT a.track, a.substream, count(b.track) AS n_dependent, coalesce(bit_or(b.locations), 0) AS locations
+FROM frames a LEFT JOIN frames b ON a.track = b.track AND a.substream = b.substream AND b.dependent
+WHERE NOT a.dependent GROUP BY a.track, a.substream""")
+def dependent_substreams(spark, sf_dir):
+    return eac3.independent_substreams(frames(spark, sf_dir)).select("track", "substream", "n_dependent", "locations")
+
+
+@query(_FRAMES + "SELECT track, sum(size)::BIGINT AS bitrate, count(*) FILTER (NOT dependent) AS n_independent FROM frames GROUP BY track")
+def substream_rates(spark, sf_dir):
+    return eac3.track_rates(frames(spark, sf_dir))
+
+
+@query("""
+, ahead AS (
+  SELECT track, sample, t, size % 6 * 500000000000 AS late, arg_min(k, k) AS k, arg_min(there, k) AS there
+  FROM (SELECT a.track, a.sample, a.t, a.size, b.sample AS k, b.t AS there FROM m a LEFT JOIN m b ON a.track = b.track AND b.sample > a.sample AND b.is_sync)
+  GROUP BY ALL
+), step AS (
+  SELECT track, 0::BIGINT AS sample, NULL::BIGINT AS target, 0::BIGINT AS left_, false AS passed, -1::BIGINT AS done FROM m WHERE sample = 0
+  UNION ALL
+  SELECT track, sample + 1, CASE WHEN skipped THEN target WHEN jumps THEN k END, CASE WHEN skipped THEN left_ WHEN jumps THEN l - (there - t) END, skipped OR jumps, sample
+  FROM (
+    SELECT *, NOT skipped AND l > 18000000000 AND k IS NOT NULL AND (k = sample + 1 OR (there - t) // 2 < l) AS jumps
+    FROM (
+      SELECT s.track, s.sample, s.target, s.left_, a.t, a.k, a.there, s.target IS NOT NULL AND s.sample < s.target AS skipped,
+        CASE WHEN s.target IS NOT NULL THEN s.left_ ELSE coalesce(late, 0) + CASE WHEN late > 72000000000 THEN 36000000000 ELSE 0 END END AS l
+      FROM step s JOIN ahead a ON a.track = s.track AND a.sample = s.sample
+    )
+  )
+)
+SELECT track, done AS sample FROM step WHERE done >= 0 AND NOT passed""")
+def load_shedding(spark, sf_dir):
+    late = (F.col("size") % 6 * 500_000_000_000).alias("late")
+    rows = media(spark, sf_dir).select("track", "sample", F.col("t").alias("cts"), F.lit(HOUR).alias("dur"), F.col("is_sync").alias("sync"), late)
+    return playback.shed_late(rows).select("track", "sample")

@@ -1,6 +1,7 @@
 """The sample index: time, size and place of every sample from run tables, and lookups in it.
 
-All joins have the track as an equi-key, so they plan as sort-merge or hash joins with a residual, never as products.
+Joins have the track as an equi-key. Lookups of a place in a track's runs are no joins: probes and run starts are sorted
+together, one pass finds each probe's run, so the work is that of a sort however many runs and probes a track has.
 """
 
 from __future__ import annotations
@@ -14,6 +15,17 @@ from boxlake.functions.time import to_reference
 COUNT = Window.unboundedPreceding
 
 
+def as_of(probes: DataFrame, marks: DataFrame, at: str, following: bool = False) -> DataFrame:
+    """Probes (track, at, ...) with ``_m``: the last of the track's marks (track, _at, _rank, ...) at or before them, of
+    marks at one place that of the highest rank; with ``following`` the first mark past them. Probes without one go."""
+    p = probes.select("track", F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*probes.columns).alias("_p"))
+    m = marks.where("_at is not null").select("track", "_at", F.lit(0).alias("_kind"), F.struct(*marks.columns).alias("_m"))
+    w = Window.partitionBy("track").orderBy("_at", "_kind", F.col("_m._rank"))
+    near = F.first("_m", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) if following else F.last("_m", ignorenulls=True).over(w.rowsBetween(COUNT, 0))
+    found = p.unionByName(m, allowMissingColumns=True).withColumn("_m", near)
+    return found.where("_kind = 1 and _m is not null").select("_p.*", "_m")
+
+
 def sample_times(stts: DataFrame, scale: Column | int, ctts: DataFrame | None = None, compat: str | None = None) -> DataFrame:
     """(track, sample, dts, cts, dur) in 100 ns from runs (track, run, n, v) of ticks.
 
@@ -21,9 +33,9 @@ def sample_times(stts: DataFrame, scale: Column | int, ctts: DataFrame | None =
     unscaled.
     """
     key = Window.partitionBy("track").orderBy("run").rowsBetween(COUNT, -1)
-    based = stts.withColumn("_t", F.coalesce(F.sum(to_reference(F.col("n") * F.col("v"), scale)).over(key), F.lit(0)))
-    rows = expand_runs(stts, "track").join(based.select("track", "run", "_t"), ["track", "run"])
-    out = rows.select("track", "sample", (F.col("_t") + to_reference(F.col("k") * F.col("v"), scale)).alias("dts"), to_reference("v", scale).alias("dur"))
+    based = stts.select("track", "n", "v", F.coalesce(F.sum("n").over(key), F.lit(0)).alias("_b"), F.coalesce(F.sum(to_reference(F.col("n") * F.col("v"), scale)).over(key), F.lit(0)).alias("_t"))
+    rows = based.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    out = rows.select("track", (F.col("_b") + F.col("k")).alias("sample"), (F.col("_t") + to_reference(F.col("k") * F.col("v"), scale)).alias("dts"), to_reference("v", scale).alias("dur"))
     if ctts is None:
         return out.select("track", "sample", "dts", F.col("dts").alias("cts"), "dur")
     offset = expand_runs(ctts, "track").select("track", "sample", F.col("v").alias("_o"))
@@ -40,9 +52,9 @@ def sample_offsets(sizes: DataFrame, stsc: DataFrame, chunks: DataFrame) -> Data
     (track, chunk from 0, offset). The last run goes on to the end; a sample past the last chunk has offset 0."""
     w = Window.partitionBy("track").orderBy("run")
     spans = stsc.withColumn("_next", F.lead("first_chunk").over(w)).withColumn("_n", (F.col("_next") - F.col("first_chunk")) * F.col("spc"))
-    based = spans.withColumn("_lo", F.coalesce(F.sum("_n").over(w.rowsBetween(COUNT, -1)), F.lit(0))).withColumn("_hi", F.col("_lo") + F.col("_n"))
-    at = sizes.join(based, "track").where("sample >= _lo and (_hi is null or sample < _hi)")
-    placed = at.select("track", "sample", "size", F.expr("first_chunk - 1 + (sample - _lo) div spc").alias("chunk"))
+    marks = spans.select("track", F.coalesce(F.sum("_n").over(w.rowsBetween(COUNT, -1)), F.lit(0)).alias("_at"), F.col("run").alias("_rank"), "first_chunk", "spc")
+    at = as_of(sizes.select("track", "sample", "size"), marks, "sample")
+    placed = at.select("track", "sample", "size", F.expr("_m.first_chunk - 1 + (sample - _m._at) div nullif(_m.spc, 0)").alias("chunk"))
     inside = Window.partitionBy("track", "chunk").orderBy("sample").rowsBetween(COUNT, -1)
     summed = placed.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return summed.join(chunks, ["track", "chunk"], "left").select("track", "sample", "chunk", F.coalesce(F.col("offset") + F.col("_in"), F.lit(0)).alias("offset"))
@@ -52,18 +64,21 @@ def time_to_sample(probes: DataFrame, stts: DataFrame, scale: int) -> DataFrame:
     """Probes (track, t in 100 ns) to the sample that decodes then: division in the run, the last run open-ended, no
     step below one tick."""
     w = Window.partitionBy("track").orderBy("run").rowsBetween(COUNT, -1)
-    length = to_reference(F.col("n") * F.col("v"), scale)
-    bounds = stts.where("n > 0").withColumns({"_t": F.coalesce(F.sum(length).over(w), F.lit(0)), "_s": F.coalesce(F.sum("n").over(w), F.lit(0)), "_last": F.lead("run").over(Window.partitionBy("track").orderBy("run")).isNull()}).withColumn("_end", F.col("_t") + length)
-    hit = probes.join(bounds, "track").where("t >= _t and (_last or t < _end)")
+    begun = F.coalesce(F.sum(to_reference(F.col("n") * F.col("v"), scale)).over(w), F.lit(0))
     step = F.greatest(to_reference("v", scale), F.lit(1))
-    return hit.withColumn("_step", step).select("track", "t", F.expr("_s + (t - _t) div _step").alias("sample"))
+    marks = stts.where("n > 0").select("track", begun.alias("_at"), F.col("run").alias("_rank"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("first"), step.alias("step"))
+    return as_of(probes.select("track", "t"), marks, "t").select("track", "t", F.expr("_m.first + (t - _m._at) div _m.step").alias("sample"))
 
 
 def nearest_cover(probes: DataFrame, samples: DataFrame) -> DataFrame:
     """Probes (track, t) to the first sample (track, sample, cts, dur) that is later than or covers t; -1 if none."""
-    hit = probes.join(samples.where("cts >= 0 and dur > 0"), "track").where("cts > t or t < cts + dur")
-    found = hit.groupBy("track", "t").agg(F.min("sample").alias("sample"))
-    return probes.select("track", "t").distinct().join(found, ["track", "t"], "left").select("track", "t", F.coalesce("sample", F.lit(-1)).cast("long").alias("sample"))
+    ends = samples.where("cts >= 0 and dur > 0").select("track", "sample", (F.col("cts") + F.col("dur")).alias("_at"))
+    before = F.max("_at").over(Window.partitionBy("track").orderBy("sample").rowsBetween(COUNT, -1))
+    # Only a sample that ends later than all before it can be the first that ends past a time.
+    marks = ends.withColumn("_b", before).where("_b is null or _at > _b").select("track", "_at", F.col("sample").alias("_rank"))
+    wanted = probes.select("track", "t").distinct()
+    found = as_of(wanted, marks, "t", following=True).select("track", "t", F.col("_m._rank").alias("sample"))
+    return wanted.join(found, ["track", "t"], "left").select("track", "t", F.coalesce("sample", F.lit(-1)).cast("long").alias("sample"))
 
 
 def segment_starts(edits: DataFrame) -> DataFrame:
@@ -91,6 +106,7 @@ def segment_of(probes: DataFrame, edits: DataFrame) -> DataFrame:
     """Probes (track, t) to (edit, media time): an empty segment sends a time on to the next one's start."""
     w = Window.partitionBy("track").orderBy("edit")
     all_ = segment_starts(edits).withColumns({"_next": F.first(F.when(F.col("media_time") >= 0, F.struct("edit", "seg_start", "media_time")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
-    hit = probes.join(all_, "track").where("t >= seg_start and t < seg_start + seg_dur")
+    marks = all_.select("track", F.col("seg_start").alias("_at"), F.col("edit").alias("_rank"), "seg_dur", "media_time", "_next")
+    hit = as_of(probes.select("track", "t"), marks, "t").where("t < _m._at + _m.seg_dur").select("track", "t", F.col("_m._rank").alias("edit"), "_m.media_time", F.col("_m._at").alias("seg_start"), "_m._next")
     full = F.col("media_time") >= 0
     return hit.select("track", "t", F.when(full, F.col("edit")).otherwise(F.col("_next.edit")).alias("edit"), F.when(full, F.col("media_time") + F.col("t") - F.col("seg_start")).otherwise(F.col("_next.media_time")).alias("media"))

@@ -260,3 +260,24 @@ def test_contract_query(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == columns
     assert sorted(str([r[c] for c in columns]) for r in got.collect()) == rows
+
+
+def test_lookups_against_brute_force(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        stts = [(i, rng.choice([0, 1, 3, 8]), rng.choice([0, 1, 7, 1000])) for i in range(30)] + [(30, 1, 5)]
+        bounds, t0, s0 = [], 0, 0
+        for _, n, v in stts:
+            if n:
+                bounds.append((t0, s0, n, v))
+            t0, s0 = t0 + n * v * 1000, s0 + n
+        times = [(rng.randrange(t0 + 5000),) for _ in range(80)] + [(b[0],) for b in bounds]
+        run = lambda t: max(i for i, b in enumerate(bounds) if b[0] <= t)
+        want = sorted((t, bounds[run(t)][1] + (t - bounds[run(t)][0]) // max(1, bounds[run(t)][3] * 1000)) for (t,) in times)
+        got = index.time_to_sample(table(spark, times, "t long"), table(spark, stts, "run int, n long, v long"), 10_000)
+        assert sorted((r.t, r["sample"]) for r in got.collect()) == want
+        samples = [(i, rng.randrange(-50, 900), rng.choice([0, 5, 60])) for i in range(60)]
+        probes = sorted({(rng.randrange(1000),) for _ in range(60)})
+        near = index.nearest_cover(table(spark, probes, "t long"), table(spark, samples, "sample long, cts long, dur long"))
+        first = [(t, min((i for i, c, d in samples if c >= 0 and d > 0 and t < c + d), default=-1)) for (t,) in probes]
+        assert sorted((r.t, r["sample"]) for r in near.collect()) == first

@@ -55,7 +55,7 @@ def write_bits(fields: list[tuple[int, int]]) -> bytes:
 def start_code_units(data: bytes) -> list[bytes]:
     """NAL units between start codes."""
     marks = [(m.start(), m.end()) for m in re.finditer(rb"\x00\x00\x01", data)]
-    return [u for (_, a), (z, _) in zip(marks, [*marks[1:], (len(data), 0)], strict=True) if (u := data[a:z].rstrip(b"\x00"))]
+    return [u for (_, a), (z, _) in zip(marks, [*marks[1:], (len(data), 0)], strict=False) if (u := data[a:z].rstrip(b"\x00"))]
 
 
 def prefixed_units(data: bytes, width: int = 4) -> list[bytes]:
@@ -80,6 +80,63 @@ def to_start_codes(data: bytes, parameters: tuple[bytes, ...] = ()) -> bytes:
     return b"".join((b"\0\0\0\1" if u[0] & 31 in (7, 8) else b"\0\0\1") + u for u in (*parameters, *prefixed_units(data)))
 
 
+def avc_configuration(data: bytes) -> dict | None:
+    """Profile, level, width of length fields and parameter sets of an H.264 configuration record."""
+    if len(data) < 7:
+        return None
+    out, at = {"profile": data[1], "compatible": data[2], "level": data[3], "length_size": (data[4] & 3) + 1, "sps": [], "pps": []}, 5
+    for name, mask in (("sps", 31), ("pps", 255)):
+        count, at = (data[at] & mask if at < len(data) else 0), at + 1
+        for _ in range(count):
+            n = int.from_bytes(data[at : at + 2], "big")
+            if at + 2 + n > len(data):
+                return out
+            out[name].append(data[at + 2 : at + 2 + n])
+            at += 2 + n
+    return out
+
+
+def compose_avc_configuration(data: bytes) -> bytes | None:
+    """The record of the first parameter sets among a stream's units (start codes); None if one is missing."""
+    units = start_code_units(data)
+    sps, pps = (next((u for u in units if u[0] & 31 == k), None) for k in (7, 8))
+    if sps is None or pps is None or len(sps) < 4:
+        return None
+    return b"\1" + sps[1:4] + b"\xff\xe1" + len(sps).to_bytes(2, "big") + sps + b"\1" + len(pps).to_bytes(2, "big") + pps
+
+
+def byte_stream(data: bytes, configuration: bytes, first: bool) -> bytes | None:
+    """A length-prefixed sample with start codes of four bytes; a stream's first sample has the parameter sets before it.
+
+    None (the sample isn't delivered) without a configuration or if a length goes beyond the sample.
+    """
+    c = avc_configuration(configuration)
+    if c is None:
+        return None
+    units, width = ([*c["sps"], *c["pps"]] if first else []), c["length_size"]
+    at = 0
+    while len(data) - at > width:
+        n = int.from_bytes(data[at : at + width], "big")
+        at += width
+        if at + n > len(data):
+            return None
+        units.append(data[at : at + n])
+        at += n
+    return b"".join(b"\0\0\0\1" + u for u in units)
+
+
+def first_header(configuration: bytes) -> bytes:
+    """What goes before a stream's first MPEG-4 sample: the configuration from its video object layer on."""
+    m = re.search(rb"\x00\x00\x01[\x20-\x2f]", configuration, re.DOTALL)
+    return configuration[m.start() :] if m and len(configuration) - m.start() > 4 else b""
+
+
+def layer_header(data: bytes) -> bytes | None:
+    """The video object layer (first code 0x20) of an MPEG-4 sample, up to the start code after it."""
+    m = re.search(rb"\x00\x00\x01\x20.*?(?=\x00\x00\x01.)", data, re.DOTALL)
+    return m[0] if m else None
+
+
 def raw_payload(unit: bytes) -> bytes:
     """Without emulation prevention bytes."""
     return re.sub(rb"\x00\x00\x03", b"\x00\x00", unit)
@@ -267,3 +324,5 @@ adts_column = column(without_adts, "binary")
 prefixed_column = column(to_prefixed, "binary")
 start_code_column = column(to_start_codes, "binary")
 swapped_column = column(swapped, "binary")
+layer_column = column(layer_header, "binary")
+configuration_column = column(compose_avc_configuration, "binary")

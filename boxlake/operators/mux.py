@@ -151,3 +151,78 @@ def bitrate_state(df: DataFrame, rate: str) -> DataFrame:
 
 def any_flag(df: DataFrame, key: str, flag: Column) -> DataFrame:
     return df.groupBy(key).agg(F.bool_or(flag).alias("any"))
+
+
+PIECE_BYTES = 22_050
+
+
+def pcm_pieces(chunks: DataFrame, most: int = PIECE_BYTES) -> DataFrame:
+    """(track, chunk, piece, offset, bytes, samples) of PCM chunks (track, chunk, offset, bytes, block): full pieces of the
+    most whole blocks that fit, then the rest; a piece's index holds one sample of duration 1 a block."""
+    size = F.lit(most) - F.lit(most) % F.col("block")
+    cut = chunks.where("bytes > 0 and block > 0").withColumn("_s", size.cast("long"))
+    rows = cut.withColumn("piece", F.explode(F.expr("sequence(0L, (bytes - 1) div _s)")))
+    part = F.least(F.col("_s"), F.col("bytes") - F.col("piece") * F.col("_s"))
+    return rows.select("track", "chunk", "piece", (F.col("offset") + F.col("piece") * F.col("_s")).alias("offset"), part.alias("bytes"), F.expr("least(_s, bytes - piece * _s) div block").alias("samples"))
+
+
+def trim_pcm(df: DataFrame, start: int) -> DataFrame:
+    """PCM rows (t, stop, data, rate, block) that begin before ``start`` and end after it lose what lies before it: whole
+    blocks of the time between, truncated. Rows without a stop time stay as they are, and so do all others."""
+    over = (F.col("t") < start) & (F.col("stop") > start)
+    excess = to_track(F.lit(start) - F.col("t"), "rate") * F.col("block")
+    data = F.expr("substring(data, cast(_excess as int) + 1)")
+    cut = df.withColumn("_excess", F.when(over, excess).otherwise(0))
+    return cut.withColumns({"data": F.when(F.col("_excess") > 0, data).otherwise(F.col("data")), "t": F.when(over, F.lit(start).cast("long")).otherwise(F.col("t"))}).drop("_excess")
+
+
+def interleave_chunks(df: DataFrame, bytes_most: int = CHUNK_BYTES, time_most: int = UNITS) -> DataFrame:
+    """(session, track, chunk, first, n, bytes, t_start, t_end, bound) of (session, track, sample, arrival, t, stop, size,
+    frame): chunks under a bound on time that falls as bitrates are learnt.
+
+    Samples of a session come in order of ``arrival``. A chunk is closed when its bytes or its duration (number of samples
+    times ``frame``, for null ``frame``, audio, its last end less its first start) are over the bounds; its bitrate, if
+    the highest of its track so far, may lower the bound to what ``bytes_most`` last at the sum of the tracks' highest.
+    The bound is the session's, so a session streams through one task; that holds one open chunk a track.
+    """
+    longs = ["session", "track", "arrival", "sample", "t"]
+    rows = df.select(*(F.col(c).cast("long") for c in longs), F.coalesce("stop", F.col("t") + 1).cast("long").alias("stop"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.col("frame").cast("long"))
+    rows = rows.repartition("session").sortWithinPartitions("session", "arrival", "track", "sample")
+    names = ["session", *_CHUNK, "bound"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, bound, chunks, rates = None, time_most, {}, {}
+        made: list[list[int]] = []
+
+        def rest() -> None:
+            made.extend([current, t, *c, bound] for t, c in sorted(chunks.items()) if c[2])
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], pa.int64()) for i in range(len(names))], names=names)
+            made.clear()
+            return out
+
+        for b in batches:
+            for session, t, _, sample, start, stop, size, frame in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if session != current:
+                    rest()
+                    current, bound, chunks, rates = session, time_most, {}, {}
+                number, first, n, held, a, z = chunks.get(t, (0, sample, 0, 0, start, stop))
+                if not n:
+                    first, a, z = sample, start, stop
+                n, held, a, z = n + 1, held + size, min(a, start), max(z, stop)
+                length = z - a if frame is None else n * frame
+                if held <= bytes_most and length <= bound:
+                    chunks[t] = (number, first, n, held, a, z)
+                    continue
+                made.append([session, t, number, first, n, held, a, z, bound])
+                chunks[t] = (number + 1, 0, 0, 0, 0, 0)
+                rate = held * UNITS // length * 8 if length > 0 else 0
+                if rate > rates.get(t, 0):
+                    rates[t] = rate
+                    bound = min(bound, UNITS * 8 * bytes_most // sum(rates.values()))
+            yield batch()
+        rest()
+        yield batch()
+
+    return rows.mapInArrow(fold, ", ".join(f"{n} long" for n in names))

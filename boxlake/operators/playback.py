@@ -51,3 +51,29 @@ def shed_late(df: DataFrame, rate: float = 1.0, last: int | None = None) -> Data
             yield pa.RecordBatch.from_arrays(b.columns[:width], names=b.schema.names[:width]).filter(pa.array(kept, pa.bool_()))
 
     return rows.mapInArrow(deliver, T.StructType(list(df.schema.fields)))
+
+
+def deliver(df: DataFrame, start: int, stop: int, rate: float = 1.0, keep_small: bool = False) -> DataFrame:
+    """What a player gets of (track, edit, sample, t, dur, size, sync) from its key frame before ``start`` up to ``stop``.
+
+    Delivery begins at the last sync sample at or before the sample that is shown at ``start`` (a track without samples
+    there gives none) and ends before the first sample at or past ``stop``. Samples of under 4 bytes or no duration are
+    left out unless ``keep_small``; empty ones always. Adds media_start and media_stop (presentation times), start and
+    stop (from ``start``, over ``rate``, truncated), preroll (before ``start``) and discontinuity (a track's first).
+    Extra columns stay; rows in presentation order are (edit, sample).
+    """
+    w = Window.partitionBy("track").orderBy("edit", "sample")
+    whole = Window.partitionBy("track")
+    shown = F.min(F.when(F.col("t") + F.col("dur") > start, F.struct("edit", "sample"))).over(whole)
+    place = F.struct("edit", "sample")
+    rows = df.withColumn("_shown", shown).where("_shown is not null")
+    key = F.max(F.when(F.col("sync") & (place <= F.col("_shown")), place)).over(whole)
+    rows = rows.withColumn("_from", F.coalesce(key, F.min(place).over(whole))).where(place >= F.col("_from"))
+    rows = rows.withColumn("_end", F.max((F.col("t") >= stop).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_end = 0")
+    some = F.col("size") > 0 if keep_small else (F.col("size") >= 4) & (F.col("dur") >= 1)
+    timed = lambda x: ((x - start) / F.lit(float(rate))).cast("long")
+    out = rows.where(some).withColumns({
+        "media_start": F.col("t"), "media_stop": F.col("t") + F.col("dur"), "start": timed(F.col("t")), "stop": timed(F.col("t") + F.col("dur")),
+        "preroll": F.col("t") < start, "discontinuity": F.row_number().over(w) == 1,
+    })
+    return out.drop("_shown", "_from", "_end")

@@ -341,3 +341,30 @@ def load_shedding(spark, sf_dir):
     late = (F.col("size") % 6 * 500_000_000_000).alias("late")
     rows = media(spark, sf_dir).select("track", "sample", F.col("t").alias("cts"), F.lit(HOUR).alias("dur"), F.col("is_sync").alias("sync"), late)
     return playback.shed_late(rows).select("track", "sample")
+
+
+@query("""
+, u AS (SELECT track, sample, t, size, is_sync, coalesce(lead(t) OVER (PARTITION BY track ORDER BY sample) - t, 400000) AS dur FROM m),
+p AS (SELECT track, min(sample) AS shown FROM u WHERE t + dur > 864000000000 GROUP BY track),
+k AS (SELECT track, coalesce(max(sample) FILTER (is_sync AND sample <= shown), min(sample)) AS f FROM u JOIN p USING (track) GROUP BY track),
+z AS (SELECT track, f, coalesce(min(sample) FILTER (sample >= f AND t >= 8640000000000), 1000000000) AS e FROM u JOIN k USING (track) GROUP BY track, f),
+v AS (SELECT * FROM u JOIN z USING (track) WHERE sample >= f AND sample < e AND size >= 4 AND dur >= 1)
+SELECT track, sample, t AS media_start, t + dur AS media_stop, (t - 864000000000) // 2 AS start, (t + dur - 864000000000) // 2 AS stop, t < 864000000000 AS preroll,
+  row_number() OVER (PARTITION BY track ORDER BY sample) = 1 AS discontinuity FROM v""")
+def delivery(spark, sf_dir):
+    m = media(spark, sf_dir)
+    rows = m.select("track", F.lit(0).alias("edit"), "sample", "t", F.coalesce(F.lead("t").over(mux.track()) - F.col("t"), F.lit(400_000)).alias("dur"), "size", F.col("is_sync").alias("sync"))
+    return playback.deliver(rows, EDIT, 10 * EDIT, 2.0).select("track", "sample", "media_start", "media_stop", "start", "stop", "preroll", "discontinuity")
+
+
+@query("""
+, k AS (SELECT track, chunk, bytes, t_start, unnest(range((bytes + 22047) // 22048)) AS piece FROM hc WHERE bytes > 0)
+SELECT track, chunk, piece, t_start + piece * 22048 AS "offset", least(22048, bytes - piece * 22048) AS bytes, least(22048, bytes - piece * 22048) // 4 AS samples FROM k""")
+def pcm_pieces(spark, sf_dir):
+    return mux.pcm_pieces(hour_chunks(spark, sf_dir).select("track", "chunk", F.col("t_start").alias("offset"), "bytes", F.lit(4).cast("long").alias("block")))
+
+
+@query()
+def interleave_chunks(spark, sf_dir):
+    rows = media(spark, sf_dir).select((F.col("track") % 8).alias("session"), "track", "sample", F.col("t").alias("arrival"), "t", "stop", "size", F.when(F.col("track") % 2 == 0, F.lit(HOUR)).alias("frame"))
+    return mux.interleave_chunks(rows, 100_000, 24 * HOUR)

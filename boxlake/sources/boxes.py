@@ -124,7 +124,7 @@ def attributes(data: bytes) -> list[tuple[str, str]]:
 
 def track(box: Box, data: bytes, number: int, movie_scale: int, compat_edits: bool) -> dict:
     """One track; ``valid`` if it is enabled, has its tables, one sample description and at least one sample."""
-    out = {"track": number, "enabled": False, "valid": False, "timescale": None, "handler": None, "codec": None, "all_sync": True, "fixed_size": 0, "sample_count": 0, "stts": [], "ctts": [], "stsc": [], "chunk_offsets": [], "sizes": [], "sync": [], "edits": []}
+    out = {"track": number, "enabled": False, "valid": False, "timescale": None, "handler": None, "codec": None, "all_sync": True, "fixed_size": 0, "sample_count": 0, "stts": [], "ctts": [], "stsc": [], "chunk_offsets": [], "sizes": [], "sync": [], "edits": [], "entry": None}
     head = box.find(b"tkhd")
     out["enabled"] = bool(head and head.payload(data)[3] & 1)
     elst = box.find(b"edts", b"elst")
@@ -145,7 +145,7 @@ def track(box: Box, data: bytes, number: int, movie_scale: int, compat_edits: bo
     described = table.get(b"stsd", b"")
     one = len(described) >= 16 and described[0] == 0 and struct.unpack_from(">I", described, 4)[0] == 1
     if one:
-        out["codec"] = described[12:16].decode("latin-1")
+        out["codec"], out["entry"] = described[12:16].decode("latin-1"), described[16 : 8 + struct.unpack_from(">I", described, 8)[0]]
     if b"stsz" in table and len(table[b"stsz"]) >= 12 and table[b"stsz"][0] == 0:
         out["fixed_size"], out["sample_count"] = struct.unpack_from(">II", table[b"stsz"], 4)
         out["sizes"] = [] if out["fixed_size"] else _numbers(table[b"stsz"], "I", 12, out["sample_count"])
@@ -164,7 +164,7 @@ def track(box: Box, data: bytes, number: int, movie_scale: int, compat_edits: bo
 
 BOXES = "path string, box_id int, parent_id int, depth int, ordinal int, fourcc binary, type string, offset long, length long, header_len int"
 RUN = "array<struct<n:long,v:long>>"
-TRACKS = f"path string, track int, enabled boolean, valid boolean, timescale long, handler string, codec string, all_sync boolean, fixed_size long, sample_count long, stts {RUN}, ctts {RUN}, stsc array<struct<first_chunk:long,spc:long>>, chunk_offsets array<long>, sizes array<long>, sync array<long>, edits array<struct<seg_dur:long,media_time:long>>"
+TRACKS = f"path string, track int, enabled boolean, valid boolean, timescale long, handler string, codec string, all_sync boolean, fixed_size long, sample_count long, stts {RUN}, ctts {RUN}, stsc array<struct<first_chunk:long,spc:long>>, chunk_offsets array<long>, sizes array<long>, sync array<long>, edits array<struct<seg_dur:long,media_time:long>>, entry binary"
 MOVIES = "path string, timescale long, duration long, comment string, attributes array<struct<name:string,value:string>>, tracks int, invalid_tracks int"
 
 
@@ -193,7 +193,7 @@ def tracks(df: DataFrame) -> DataFrame:
             return [{a: int(p), b: int(q)} for p, q in x]
 
         m = movie(content)
-        return [(path, t["track"], t["enabled"], t["valid"], t["timescale"], t["handler"], t["codec"], t["all_sync"], t["fixed_size"], t["sample_count"], named(t["stts"], "n", "v"), named(t["ctts"], "n", "v"), named(t["stsc"], "first_chunk", "spc"), t["chunk_offsets"], t["sizes"], t["sync"], named(t["edits"], "seg_dur", "media_time")) for t in (m["tracks"] if m else [])]
+        return [(path, t["track"], t["enabled"], t["valid"], t["timescale"], t["handler"], t["codec"], t["all_sync"], t["fixed_size"], t["sample_count"], named(t["stts"], "n", "v"), named(t["ctts"], "n", "v"), named(t["stsc"], "first_chunk", "spc"), t["chunk_offsets"], t["sizes"], t["sync"], named(t["edits"], "seg_dur", "media_time"), t["entry"]) for t in (m["tracks"] if m else [])]
 
     return _map(df, rows, TRACKS)
 

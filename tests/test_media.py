@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from boxlake.functions import bits, eac3, runs, time
+from boxlake.functions import bits, codecs, eac3, runs, time
 from boxlake.operators import index, mux, playback
 from boxlake.plans.contract import ORACLE_SQL, QUERIES
 from boxlake.sources import boxes, recovery, writer
@@ -248,7 +248,7 @@ def test_chunk_stream(spark, tmp_path):
     assert [(r["first"], r["n"], r["bytes"]) for r in got] == [(0, 3, 600_000), (3, 3, 600_000), (6, 1, 200_000)]
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_contract_query(spark, name):
     db = duckdb.connect()
     for t in ("events", "lineitem"):
@@ -281,3 +281,102 @@ def test_lookups_against_brute_force(spark):
         near = index.nearest_cover(table(spark, probes, "t long"), table(spark, samples, "sample long, cts long, dur long"))
         first = [(t, min((i for i, c, d in samples if c >= 0 and d > 0 and t < c + d), default=-1)) for (t,) in probes]
         assert sorted((r.t, r["sample"]) for r in near.collect()) == first
+
+
+def picture(width, height, depth=24, *parts):
+    return bytes(24) + struct.pack(">HH", width, height) + bytes(46) + struct.pack(">HH", depth, 0xFFFF) + b"".join(parts)
+
+
+def sound(channels, size, rate, *parts, version=0):
+    return bytes(8) + struct.pack(">H", version) + bytes(6) + struct.pack(">HHII", channels, size, 0, rate << 16) + b"".join(parts)
+
+
+def es(kind, specific=b""):
+    config = bytes([kind, 0x15]) + bytes(11) + (bits.compose_descriptor(5, specific) if specific else b"")
+    return writer.full(b"esds", bits.compose_descriptor(3, bytes(3) + bits.compose_descriptor(4, config)))
+
+
+def test_sample_descriptions(spark):
+    avc = bits.compose_avc_configuration(b"\0\0\1\x67\x42\xc0\x1eab\0\0\1\x68cd")
+    given = [
+        ("avc1", picture(720, 480, 24, writer.box(b"avcC", avc))), ("avc1", picture(720, 480)), ("mp4v", picture(8, 6, 24, es(0x20, b"\0\0\1\x20z"))),
+        ("mjpa", picture(64, 32)), ("HapY", picture(64, 32, 32)), ("\0\0\0\0", picture(4, 4, 32)), ("mp4a", sound(2, 16, 44100, es(0x40, b"\x11\x90"))),
+        ("mp4a", sound(1, 16, 32000, es(0x6B))), ("mp4a", sound(2, 16, 44100, writer.box(b"wave", writer.box(b"frma"), es(0x40, b"\x12\x08")), version=1)),
+        ("in24", sound(2, 16, 48000)), ("twos", sound(1, 16, 8000)), ("c608", b""), ("avc1", b"short"), ("hvc1", picture(1, 1)), (None, b""), ("sowt", None),
+    ]
+    given[8] = ("mp4a", given[8][1][:28] + bytes(16) + given[8][1][28:])
+    df = spark.createDataFrame([(i, c, d) for i, (c, d) in enumerate(given)], "track int, codec string, entry binary")
+    rows = codecs.sample_entries(df).withColumn("types", codecs.offered_types()).withColumn("shown", codecs.display_name("description.name", "track")).orderBy("track").collect()
+    assert [(r.description.kind, r.description.valid) if r.description else None for r in rows] == [
+        ("h264", True), ("h264", False), ("mpeg4", True), ("picture", True), ("picture", True), ("rgb", True), ("aac", True), ("mpeg_audio", True), ("aac", True),
+        ("pcm", True), ("pcm", True), ("text", True), ("h264", False), None, None, None,
+    ]
+    assert [[(t.subtype, t.handler) for t in r.types] for r in rows][:12] == [
+        [("H264 stream", "plain"), ("H264", "start_codes")], [], [("MP4V", "plain"), ("XVID", "first_header"), ("DIVX", "first_header")], [("MJPG", "plain")], [("hapy", "plain")],
+        [("RGB32", "plain")], [("AAC", "plain")], [("MPEG2 audio", "plain")], [("AAC", "plain")], [("PCM", "plain")], [("PCM", "swapped")], [("byte pair", "plain")],
+    ]
+    d = [r.description for r in rows]
+    assert (d[0].width, d[0].height, d[6].rate, d[6].channels, d[8].rate, d[9].bytes_per_second, d[10].block_align) == (720, 480, 48000, 2, 44100, 288_000, 2)
+    assert rows[3].shown == "Motion JPEG Video 4"
+
+
+def test_writer_types(spark):
+    names = "major string, subtype string, format string, tag int, bits int, compression int, image_size int, sample_size int, length_field int"
+    none = (None,) * 6
+    given = [
+        (("video", "DIVX", "videoinfo", *none), "divx"), (("video", "DIVX", "videoinfo2", *none), None), (("video", "AVC1", "mpeg2video", *none[:5], 4), "h264_prefixed"),
+        (("video", "AVC1", "mpeg2video", *none[:5], 0), "h264_start_codes"), (("video", "x264", "uvch264", *none), "h264_start_codes"), (("video", "RGB24", "videoinfo", None, 24, 0, 9, 9, None), "picture"),
+        (("video", "RGB24", "videoinfo", None, 32, 0, 9, 9, None), None), (("video", "NV12", "videoinfo", None, 12, 7, 9, 8, None), None), (("video", "mjpg", "videoinfo", *none), "picture"),
+        (("audio", "any", "waveformatex", 0x1234, *none[:5]), "aac"), (("audio", "any", "waveformatex", 7, *none[:5]), "wave"), (("audio", "DDPLUS", "waveformatex", 0, *none[:5]), "eac3"),
+        (("audio", "MP3", "waveformatex", 0x55, *none[:5]), "mp3"), (("audio", "AC3", "waveformatex", 0x2000, *none[:5]), "ac3"), (("audio", "PCM", "other", 1, *none[:5]), None),
+        (("line21", "byte pair", None, *none), "text"), ((None, None, None, *none), None),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, (r, _) in enumerate(given)], f"i int, {names}")
+    assert [r.h for r in df.withColumn("h", codecs.writer_handler()).orderBy("i").collect()] == [h for _, h in given]
+    one = spark.range(1).select(codecs.object_type(F.lit(4)).alias("o"), codecs.audio_object_type(F.lit(0x50), F.lit(False)).alias("a"), codecs.long_pcm(F.lit(1), F.lit(48000), F.lit(2)).alias("p")).first()
+    assert tuple(one) == (0x63, 0x69, True)
+
+
+def test_payload_changes(spark):
+    sps, pps = b"\x67\x42\xc0\x1eab", b"\x68cd"
+    c = bits.compose_avc_configuration(b"\0\0\0\1" + sps + b"\0\0\1" + pps + b"\0\0\1\x65x")
+    got = bits.avc_configuration(c)
+    assert (got["profile"], got["level"], got["length_size"], got["sps"], got["pps"]) == (0x42, 0x1E, 4, [sps], [pps])
+    assert bits.avc_configuration(c[:9])["sps"] == [] and bits.avc_configuration(b"") is None and bits.compose_avc_configuration(sps) is None
+    short = c[:4] + b"\xfd" + c[5:]
+    mark = b"\0\0\0\1"
+    assert bits.byte_stream(b"\0\2\x65x\0\1\x41", short, True) == mark + sps + mark + pps + mark + b"\x65x" + mark + b"\x41"
+    assert bits.byte_stream(b"\0\2\x65x", short, False) == mark + b"\x65x" and bits.byte_stream(b"\0\xffx", short, False) is None
+    assert bits.first_header(b"junk\0\0\1\x25abc") == b"\0\0\1\x25abc" and bits.first_header(b"junk") == b""
+    assert bits.layer_header(b"\0\0\1\xb0p\0\0\1\x20vol\0\0\1\xb6f") == b"\0\0\1\x20vol" and bits.layer_header(b"\0\0\1\x20vol") is None
+    pcm = spark.createDataFrame([(0, 10_000_000, bytes(range(100)), 50, 2), (10_000_000, 20_000_000, b"x", 50, 2), (0, None, b"abcd", 50, 2)], "t long, stop long, data binary, rate int, block int")
+    cut = mux.trim_pcm(pcm, 4_100_000).collect()
+    assert (cut[0].t, bytes(cut[0].data)) == (4_100_000, bytes(range(40, 100))) and (cut[1].t, bytes(cut[2].data)) == (10_000_000, b"abcd")
+
+
+def test_interleave(spark):
+    rng = random.Random(9)
+    rows = sorted((s, rng.randrange(3), i, i // 2, i * 1000 + rng.randrange(3000), rng.choice([0, 10, 400, 900])) for s in range(3) for i in range(150))
+    rows = [(s, t, i, a, x, None if i % 9 == 0 else x + 700, z, 800 if t == 0 else None) for s, t, i, a, x, z in rows]
+    want = []
+    for s in range(3):
+        bound, open_, best, count = 40_000, {}, {}, {}
+        for _, t, i, _, x, y, z, f in sorted((r for r in rows if r[0] == s), key=lambda r: (r[3], r[1], r[2])):
+            c = open_.setdefault(t, [])
+            c.append((i, x, x + 1 if y is None else y, z))
+            size, a, e = sum(q[3] for q in c), min(q[1] for q in c), max(q[2] for q in c)
+            length = e - a if f is None else len(c) * f
+            if size > 5000 or length > bound:
+                want.append((s, t, count.get(t, 0), c[0][0], len(c), size, a, e, bound))
+                count[t] = count.get(t, 0) + 1
+                rate = size * 10_000_000 // length * 8
+                if rate > best.get(t, 0):
+                    best[t] = rate
+                    bound = min(bound, 10_000_000 * 8 * 5000 // sum(best.values()))
+                del open_[t]
+        want += [(s, t, count.get(t, 0), c[0][0], len(c), sum(q[3] for q in c), min(q[1] for q in c), max(q[2] for q in c), bound) for t, c in open_.items()]
+    df = spark.createDataFrame(rows, "session long, track long, sample long, arrival long, t long, stop long, size long, frame long")
+    got = mux.interleave_chunks(df, 5000, 40_000)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert mux.interleave_chunks(df.where("false")).count() == 0
+    assert min(r[8] for r in want) < 40_000

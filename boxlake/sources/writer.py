@@ -1,16 +1,21 @@
 """Writing ISO base media files: index tables from samples, boxes, one file a session.
 
-Payload bytes pass through one task a session in write order; the header is made from the tables at the end.
+A file is made as a table of its parts. Chunks are numbered and placed without their payloads; payloads are put together
+chunk by chunk in parallel and no task holds a session's. A track's index is one task's work, the header takes the tracks'
+finished boxes.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from boxlake.functions.bits import compose_descriptor
 
@@ -126,7 +131,19 @@ _MATRIX = struct.pack(">9I", 1 << 16, 0, 0, 0, 1 << 16, 0, 0, 0, 1 << 30)
 def movie_box(tracks: Sequence[Track], comment: str | None = None, attributes: Sequence[tuple[str, str]] = (), align: bool = True, minimal_duration: int = 0) -> bytes:
     tracks = [t for t in tracks if t.starts]
     base = min((min(t.starts) for t in tracks), default=0) if align else 0
-    length = max([minimal_duration, *(max(t.stops) - base for t in tracks)]) * SCALE // UNITS
+    length = max([0, *(max(t.stops) - base for t in tracks)])
+    made = [(i + 1, t.handler, t.trak(i + 1, base)) for i, t in enumerate(tracks)]
+    return movie_header(made, max(length, minimal_duration) * SCALE // UNITS, comment, attributes)
+
+
+def object_list(numbers: Sequence[int]) -> bytes:
+    """The initial object descriptor, which lists sound and picture tracks."""
+    listed = b"".join(compose_descriptor(14, struct.pack(">I", n)) for n in numbers)
+    return full(b"iods", compose_descriptor(16, bytes([0, 0x4F, 0xFF, 0xFF, 0x0F, 0x03, 0xFF]) + listed))
+
+
+def movie_header(tracks: Sequence[tuple[int, str, bytes]], length: int, comment: str | None = None, attributes: Sequence[tuple[str, str]] = ()) -> bytes:
+    """The movie box of finished track boxes (number, handler, box) and a length in ticks."""
     data = []
     if comment is not None:
         data.append(full(b"meta", box(b"ilst", box(b"\xa9cmt", box(b"data", struct.pack(">II", 1, 0), comment.encode())))))
@@ -137,63 +154,160 @@ def movie_box(tracks: Sequence[Track], comment: str | None = None, attributes: S
             records.append(struct.pack(">II", 18 + len(n) + len(v), len(n)) + n + struct.pack(">IIH", 1, 6 + len(v), 8) + v)
         data.append(box(b"Xtra", *records))
     head = full(b"mvhd", struct.pack(">QQIQIHH", 0, 0, SCALE, length, 1 << 16, 256, 0), bytes(8), _MATRIX, bytes(24), struct.pack(">I", len(tracks) + 1), version=1)
-    return box(b"moov", head, *(t.trak(i + 1, base) for i, t in enumerate(tracks)), box(b"udta", *data) if data else b"")
-
-
-def file_parts(tracks: Sequence[Track], chunks: Iterator[tuple[int, Sequence[tuple[int, int, bool, bytes]]]], **options) -> Iterator[bytes]:
-    """The bytes of a file from chunks (track number, samples of start, stop, sync, payload) in write order."""
-    brand = b"mp42" if all(t.codec in (b"avc1", b"mp4a", b"mp4v", b"ac-3", b"ec-3") for t in tracks) else b"qt  "
-    head = box(b"ftyp", brand, struct.pack(">I", 0), brand)
-    yield head
-    at, held, size = len(head), [], 0
-
-    def media() -> bytes:
-        return box(b"mdat", *held)
-
-    for number, samples in chunks:
-        t = tracks[number]
-        t.chunks.append((at + 8 + size, len(samples)))
-        for start, stop, sync, payload in samples:
-            t.starts.append(start)
-            t.stops.append(stop if stop is not None else start + 1)
-            t.sync.append(sync)
-            t.sizes.append(len(payload))
-            held.append(payload)
-            size += len(payload)
-        if size >= MEDIA_BYTES:
-            yield media()
-            at, held, size = at + 8 + size, [], 0
-    if held:
-        yield media()
-    yield movie_box(tracks, **options)
-
-
-def encode_sessions(samples: DataFrame, chunk_bytes: int = 400 << 10, chunk_time: int = UNITS) -> DataFrame:
-    """(session, content binary): a file of each session of rows (session string, track int, seq long, start, stop, sync,
-    codec string, data binary). Chunks are closed by bytes or time and written earliest head first."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["track"], r["seq"]))
-        names = sorted({r["track"] for r in rows})
-        tracks = [Track("soun" if next(r["codec"] for r in rows if r["track"] == n) in ("mp4a", "sowt", "twos", "ac-3") else "vide", next(r["codec"] for r in rows if r["track"] == n).encode("latin-1")) for n in names]
-        queues: dict[int, list] = {i: [] for i in range(len(names))}
-        for i, n in enumerate(names):
-            chunk: list = []
-            for r in (r for r in rows if r["track"] == n):
-                chunk.append((r["start"], r["stop"], r["sync"], r["data"]))
-                if sum(len(x[3]) for x in chunk) > chunk_bytes or max((x[1] or x[0] + 1) for x in chunk) - min(x[0] for x in chunk) > chunk_time:
-                    queues[i].append(chunk)
-                    chunk = []
-            if chunk:
-                queues[i].append(chunk)
-        order = []
-        for i, q in queues.items():
-            most = None
-            for k, c in enumerate(q):
-                first = min(x[0] for x in c)
-                most = first if most is None else max(most, first)
-                order.append((most, i, k))
-        content = b"".join(file_parts(tracks, ((i, queues[i][k]) for _, i, k in sorted(order))))
-        return pa.table({"session": [rows[0]["session"]], "content": pa.array([content], pa.binary())})
-
-    return samples.select("session", "track", "seq", "start", "stop", "sync", "codec", "data").groupBy("session").applyInArrow(run, "session string, content binary")
+    objects = object_list([n for n, handler, _ in tracks if handler in ("vide", "soun")])
+    return box(b"moov", head, objects, *(t for _, _, t in tracks), box(b"udta", *data) if data else b"")
+
+
+#: Codes whose files have the brand of the standard, and codes of sound.
+STANDARD, SOUND = ("avc1", "mp4a", "mp4v", "ac-3", "ec-3"), ("mp4a", "sowt", "twos", "in24", "in32", "lpcm", "alaw", "ulaw", "ac-3", "ec-3", ".mp3")
+_FIRST = 20  # bytes of the type box
+_LAST = 1 << 62
+
+
+def numbered(rows: DataFrame, chunk_bytes: int, chunk_time: int) -> DataFrame:
+    """Rows (session, track, seq, start, stop, sync, size) with their chunk, which is closed by bytes or time."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, chunk, held, first, end = None, 0, None, 0, 0
+        for b in batches:
+            out = []
+            for session, track, start, stop, size in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 6)), strict=True):
+                if (session, track) != key:
+                    key, chunk, held = (session, track), 0, None
+                if held is None:
+                    held, first, end = 0, start, stop
+                out.append(chunk)
+                held, first, end = held + size, min(first, start), max(end, stop)
+                if held > chunk_bytes or end - first > chunk_time:
+                    chunk, held = chunk + 1, None
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "chunk"])
+
+    dealt = rows.select("session", "track", "seq", "start", "stop", "sync", "size").repartition("session", "track").sortWithinPartitions("session", "track", "seq")
+    return dealt.mapInArrow(number, "session string, track int, seq long, start long, stop long, sync boolean, size long, chunk long")
+
+
+def placed(chunks: DataFrame, media_bytes: int = MEDIA_BYTES) -> DataFrame:
+    """(session, part, track, chunk, offset, head) of chunks (session, track, chunk, t_start, bytes) in write order.
+
+    Media boxes are closed when they hold ``media_bytes``; their heads are rows of their own (track and chunk null).
+    """
+    queue = Window.partitionBy("session", "track").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    order = ["session", "merge_t", "track", "chunk"]
+    rows = chunks.withColumn("merge_t", F.max("t_start").over(queue)).select(*order, "bytes").repartition("session").sortWithinPartitions(*order)
+    schema = pa.schema([("session", pa.string()), ("part", pa.int64()), ("track", pa.int32()), ("chunk", pa.int64()), ("offset", pa.int64()), ("head", pa.binary())])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, at, part, opened, size = None, _FIRST, 1, None, 0
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+            out.clear()
+            return made
+
+        for b in batches:
+            for s, _, track, chunk, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if s != session:
+                    if opened is not None:
+                        out.append((session, opened, None, None, at, struct.pack(">I4s", size + 8, b"mdat")))
+                    session, at, part, opened, size = s, _FIRST, 1, None, 0
+                if opened is None:
+                    opened, part = part, part + 1
+                out.append((s, part, track, chunk, at + 8 + size, None))
+                part, size = part + 1, size + n
+                if size >= media_bytes:
+                    out.append((s, opened, None, None, at, struct.pack(">I4s", size + 8, b"mdat")))
+                    at, opened, size = at + 8 + size, None, 0
+            yield batch()
+        if opened is not None:
+            out.append((session, opened, None, None, at, struct.pack(">I4s", size + 8, b"mdat")))
+        yield batch()
+
+    return rows.mapInArrow(place, "session string, part long, track int, chunk long, offset long, head binary")
+
+
+def encode_parts(samples: DataFrame, chunk_bytes: int = 400 << 10, chunk_time: int = UNITS, media_bytes: int = MEDIA_BYTES, comment: str | None = None, attributes: Sequence[tuple[str, str]] = (), align: bool = True, minimal_duration: int = 0) -> DataFrame:
+    """(session, part long, content binary): the parts of a file of each session, which in order of ``part`` are the file.
+
+    Samples are (session string, track int, seq long, start, stop, sync, codec string, data binary), (session, track, seq)
+    unique. A missing stop is a start and 1, a missing payload is empty, a missing sync is none; rows without session,
+    track, seq or start have no place and are left out. Chunks are written earliest head first, a track's in order.
+    """
+    whole = samples.dropna(subset=["session", "track", "seq", "start"])
+    rows = whole.select("session", F.col("track").cast("int"), F.col("seq").cast("long"), F.col("start").cast("long"), F.coalesce("stop", F.col("start") + 1).cast("long").alias("stop"), F.coalesce("sync", F.lit(False)).alias("sync"), "codec", F.coalesce("data", F.unhex(F.lit(""))).alias("data"))
+    index = numbered(rows.withColumn("size", F.octet_length("data").cast("long")), chunk_bytes, chunk_time)
+    places = placed(index.groupBy("session", "track", "chunk").agg(F.min("start").alias("t_start"), F.sum("size").alias("bytes")), media_bytes)
+    own = Window.partitionBy("session")
+    tracks = rows.groupBy("session", "track").agg(F.min("start").alias("first"), F.max("stop").alias("end"), F.coalesce(F.min_by("codec", "seq"), F.lit("raw ")).alias("codec"))
+    base = F.min("first").over(own) if align else F.lit(0).cast("long")
+    tracks = tracks.select("session", "track", "codec", "end", F.row_number().over(own.orderBy("track")).alias("number"), base.alias("base"))
+
+    def trak(samples_: pa.Table, chunks: pa.Table) -> pa.Table:
+        schema = pa.schema([("session", pa.string()), ("number", pa.int32()), ("handler", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+        if not samples_.num_rows:
+            return schema.empty_table()
+        t = samples_.sort_by("seq")
+        head = {n: t[n][0].as_py() for n in ("session", "codec", "number", "base", "end")}
+        made = Track("soun" if head["codec"] in SOUND else "vide", head["codec"].encode("latin-1"))
+        made.starts, made.stops, made.sizes, made.sync = (t[n].to_pylist() for n in ("start", "stop", "size", "sync"))
+        counts = t.group_by("chunk").aggregate([("seq", "count")])
+        counts = dict(zip(counts["chunk"].to_pylist(), counts["seq_count"].to_pylist(), strict=True))
+        chunks = chunks.sort_by("chunk")
+        made.chunks = [(o, counts[c]) for c, o in zip(chunks["chunk"].to_pylist(), chunks["offset"].to_pylist(), strict=True)]
+        data = made.trak(head["number"], head["base"])
+        return pa.Table.from_pylist([{"session": head["session"], "number": head["number"], "handler": made.handler, "length": head["end"] - head["base"], "content": data}], schema)
+
+    def header(table: pa.Table) -> pa.Table:
+        made = sorted((r["number"], r["handler"], r["content"]) for r in table.to_pylist())
+        length = max([minimal_duration, *table["length"].to_pylist()]) * SCALE // UNITS
+        return pa.table({"session": table["session"][:1], "part": pa.array([_LAST], pa.int64()), "content": pa.array([movie_header(made, length, comment, attributes)], pa.binary())})
+
+    chunks = places.where("head is null").select("session", "track", "chunk", "offset", "part")
+    boxes = index.join(tracks, ["session", "track"]).groupBy("session", "track").cogroup(chunks.groupBy("session", "track")).applyInArrow(trak, "session string, number int, handler string, length long, content binary")
+    movies = boxes.groupBy("session").applyInArrow(header, "session string, part long, content binary")
+    brand = F.when(F.bool_and(F.col("codec").isin(*STANDARD)), F.lit(box(b"ftyp", b"mp42", bytes(4), b"mp42"))).otherwise(F.lit(box(b"ftyp", b"qt  ", bytes(4), b"qt  ")))
+    first = tracks.groupBy("session").agg(brand.alias("content")).select("session", F.lit(0).cast("long").alias("part"), "content")
+    payload = rows.select("session", "track", "seq", "data").join(index.select("session", "track", "seq", "chunk"), ["session", "track", "seq"])
+    media = payload.groupBy("session", "track", "chunk").agg(F.expr("listagg(data) within group (order by seq)").alias("content")).join(chunks, ["session", "track", "chunk"]).select("session", "part", "content")
+    return first.unionByName(places.where("head is not null").select("session", "part", F.col("head").alias("content"))).unionByName(media).unionByName(movies)
+
+
+def encode_sessions(samples: DataFrame, chunk_bytes: int = 400 << 10, chunk_time: int = UNITS, **options) -> DataFrame:
+    """(session, content binary): whole files as values, so of less than 2 GB; larger ones go through ``write_files``."""
+    return encode_parts(samples, chunk_bytes, chunk_time, **options).groupBy("session").agg(F.expr("listagg(content) within group (order by part)").alias("content"))
+
+
+def write_files(parts: DataFrame, folder: str, suffix: str = ".mp4") -> DataFrame:
+    """Writes each session's parts to ``folder/session`` and returns (session, path, bytes). Lazy: an action writes.
+
+    The folder has to be one that all executors see. A task streams parts in order to a name of its attempt and renames it
+    when the file is whole, so a lost or repeated task leaves no half file under the final name.
+    """
+    rows = parts.select("session", "part", "content").repartition("session").sortWithinPartitions("session", "part")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        session, out, size = None, None, 0
+        context = TaskContext.get()
+        mark = f".part-{context.partitionId()}-{context.taskAttemptId()}" if context else ".part"
+
+        def finish() -> pa.RecordBatch:
+            out.close()
+            path = out.name.removesuffix(mark)
+            os.replace(out.name, path)
+            return pa.RecordBatch.from_pydict({"session": [session], "path": [path], "bytes": pa.array([size], pa.int64())})
+
+        for b in batches:
+            for s, content in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                if s != session:
+                    if out:
+                        yield finish()
+                    if os.path.basename(s) != s or s in ("", ".", ".."):
+                        raise ValueError(f"session {s!r} is no file name")
+                    session, size = s, 0
+                    out = open(os.path.join(folder, s + suffix + mark), "wb")  # noqa: SIM115
+                size += out.write(content.as_buffer())
+        if out:
+            yield finish()
+
+    return rows.mapInArrow(write, "session string, path string, bytes long")

@@ -124,6 +124,36 @@ def test_written_files_read_back(spark, film):
     assert boxes.boxes(files).where("type = 'trak'").count() == 2 and not boxes.recovery_needed(files).first()["needed"]
 
 
+def test_parts_of_files(spark, film, tmp_path):
+    rng = random.Random(2)
+    rows = [(s, t, i, i * 1000 + 5000 * t, None if i % 7 == 0 else i * 1000 + 900 + 5000 * t, i % 4 == 0, "avc1" if t else "mp4a", None if i == 3 else rng.randbytes(rng.randrange(50))) for s in "ab" for t in range(3) for i in range(120)]
+    df = spark.createDataFrame([*rows, (None, 0, 0, 0, 0, True, "avc1", b"x"), ("a", 0, 500, None, 0, True, "avc1", b"x")], "session string, track int, seq long, start long, stop long, sync boolean, codec string, data binary")
+    parts = writer.encode_parts(df, 300, 20_000, media_bytes=1500, comment="x").cache()
+    files = {s: b"".join(bytes(r.content) for r in sorted((r for r in parts.collect() if r.session == s), key=lambda r: r.part)) for s in "ab"}
+    written = writer.write_files(parts, str(tmp_path / "out")).collect()
+    assert {r.session: open(r.path, "rb").read() for r in written} == files and [r.bytes for r in written] == [len(files[r.session]) for r in written]
+    assert len(list((tmp_path / "out").iterdir())) == 2
+    for s, data in files.items():
+        top = boxes.walk(data).children
+        media = [b for b in top if b.kind == b"mdat"]
+        assert [b.kind for b in top] == [b"ftyp"] + [b"mdat"] * len(media) + [b"moov"] and len(media) > 3 and data[8:12] == b"mp42"
+        assert all(b.length >= 1508 for b in media[:-1]) and boxes.movie(data)["comment"] == "x"
+        assert next(c for c in top[-1].children if c.kind == b"iods").payload(data)[4:6] == bytes([16, 7 + 3 * 6])
+        heads = []
+        for t, track in enumerate(boxes.movie(data)["tracks"]):
+            own = [r for r in rows if r[0] == s and r[1] == t]
+            spc = [n for (a, n), (z, _) in zip(track["stsc"], [*track["stsc"][1:], (len(track["chunk_offsets"]) + 1, 0)], strict=True) for _ in range(a, z)]
+            at = 0
+            for offset, n in zip(track["chunk_offsets"], spc, strict=True):
+                content = b"".join(r[7] or b"" for r in own[at : at + n])
+                assert data[offset : offset + len(content)] == content
+                heads.append((offset, own[at][3], t))
+                at += n
+            assert at == 120 and track["sync"] == list(range(1, 121, 4)) and track["valid"]
+        assert [h[1:] for h in sorted(heads)] == sorted(h[1:] for h in heads)
+    assert writer.encode_parts(df.where("false")).count() == 0
+
+
 def test_metadata_and_broken_files(spark):
     data = writer.movie_box([], "note é", [("WM/a", "x"), ("WM/a", "ü")])
     m = boxes.movie(data)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import arrow_rows
+from boxlake.llm.common import arrow_rows, lean
 
 ORDERINGS, PROJECTED, GRID_BITS, CELLS = 24, 8, 2, 50
 #: Least rows of a key range; vectors that the ranges are fitted on, about.
@@ -196,7 +196,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, id_col: str = "
         found = (np.zeros(0),) * 3 if none else pick(ids[ask], x[ask], ids[~ask], x[~ask], k)
         return pa.table({"query_id": pa.array(found[0].astype(np.int64)), "vec_id": pa.array(found[1].astype(np.int64)), "score": pa.array(found[2].astype(np.float64))})
 
-    dealt = known.select("id", "v").mapInArrow(deal, "g long, ask boolean, id long, v binary")
+    dealt = known.select("id", "v").mapInArrow(lean(deal), "g long, ask boolean, id long, v binary")
     found = dealt.groupBy("g").applyInArrow(search, RESULT)
     merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

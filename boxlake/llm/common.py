@@ -9,9 +9,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,37 @@ def arrow_rows(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: What kinds of tasks keep in a worker for the next task of their kind.
+_kept: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    return _kept.setdefault(kind, {})
+
+
+def release(kind: str | None = None) -> None:
+    """Let go of what other kinds of tasks kept, and give freed memory back to the system, which workers else hold on to."""
+    for other in [k for k in _kept if k != kind]:
+        del _kept[other]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, others needn't
+    if trim:
+        trim(0)
+
+
+def lean(rows: Callable[[Iterator], Iterator], kind: str | None = None) -> Callable[[Iterator], Iterator]:
+    """A task's function that begins and ends with release(): workers are reused, and an executor's are many."""
+
+    def run(batches: Iterator) -> Iterator:
+        release(kind)
+        try:
+            yield from rows(batches)
+        finally:
+            release(kind)
+
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -111,7 +143,7 @@ def running_offsets(df: DataFrame, group: str, order: list[str], size: str, name
                 seen[g] = seen.get(g, bases.value[p, g]) + total
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, name])
 
-    return dealt.mapInArrow(add, T.StructType([*dealt.schema.fields, T.StructField(name, T.LongType())]))
+    return dealt.mapInArrow(lean(add), T.StructType([*dealt.schema.fields, T.StructField(name, T.LongType())]))
 
 
 # ---------------------------------------------------------------- texts and words

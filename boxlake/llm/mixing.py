@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import arrow_rows, running_offsets, settle, shuffle_partitions, text_parts, word_spans, words
+from boxlake.llm.common import arrow_rows, lean, running_offsets, settle, shuffle_partitions, text_parts, word_spans, words
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -175,7 +175,7 @@ def slots(spark: SparkSession, sources: Sequence[Source], seed: int, block: int
                 k = len(order)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard), pa.int64()), pa.array(np.arange(k), pa.int32()), pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32))], names=["shard", "slot", "src", "block", "words"])
 
-    return spark.range(0, shards, 1, max(1, min(shards, shuffle_partitions(spark)))).mapInArrow(draw, "shard long, slot int, src long, block long, words int")
+    return spark.range(0, shards, 1, max(1, min(shards, shuffle_partitions(spark)))).mapInArrow(lean(draw), "shard long, slot int, src long, block long, words int")
 
 
 # ---------------------------------------------------------------- documents
@@ -195,7 +195,7 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out), b.column(2)], names=["id", "source", "size", "h"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _mark(text).alias("h"), text.alias("t")).mapInArrow(count, f"id {kind}, source string, size long, h long")
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _mark(text).alias("h"), text.alias("t")).mapInArrow(lean(count), f"id {kind}, source string, size long, h long")
 
 
 def _mark(text: Column) -> Column:
@@ -289,7 +289,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 columns[chars] = pa.array(sizes, b.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], "_spans", "_size").mapInArrow(build, schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], "_spans", "_size").mapInArrow(lean(build), schema)
 
 
 def taken_text(text: str, spans: Sequence[tuple[int, int, int, int]]) -> str:

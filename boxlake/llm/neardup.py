@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import arrow_rows, mixed, save, text_parts, words
+from boxlake.llm.common import arrow_rows, lean, mixed, save, text_parts, words
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, LOW_BITS = 40, 8, 8
@@ -102,7 +102,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                         prints.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n_shingles", "print", "bands", "bits"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(sign, f"id {kind}, n_shingles long, print binary, bands array<long>, bits binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(lean(sign), f"id {kind}, n_shingles long, print binary, bands array<long>, bits binary")
 
 
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
@@ -117,7 +117,7 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(e)], names=["a", "b", "estimate"])
             yield out.filter(pa.array(e >= least))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(test, f"a {kind}, b {kind}, estimate double")
+    return pairs.select("a", "b", "x", "y").mapInArrow(lean(test), f"a {kind}, b {kind}, estimate double")
 
 
 def _across(hubs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -168,7 +168,7 @@ def _across(hubs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         if held:
             yield pairs(held)
 
-    return both.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    return both.mapInArrow(lean(compare), f"a {kind}, b {kind}").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -195,7 +195,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(test, f"a {kind}, b {kind}")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(test), f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import running_offsets, settle
+from boxlake.llm.common import lean, running_offsets, settle
 from boxlake.llm.token_counts import token_counts
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -124,7 +124,7 @@ def pack(lengths: DataFrame, id_col: str, length_col: str, capacities: Sequence[
                 name = offset = size = np.zeros(len(n), np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(name, pa.int64(), mask=none), pa.array(size.astype(np.int32), pa.int32(), mask=none), pa.array(offset.astype(np.int32), pa.int32(), mask=none)], names=["id", "piece", "start", "n_tokens", "bin_id", "bin_capacity", "bin_offset"])
 
-    out = ranked.select("id", "piece", "start", "n_tokens", "rank").mapInArrow(assign, f"id {kind}, piece int, start long, n_tokens long, bin_id long, bin_capacity int, bin_offset int")
+    out = ranked.select("id", "piece", "start", "n_tokens", "rank").mapInArrow(lean(assign), f"id {kind}, piece int, start long, n_tokens long, bin_id long, bin_capacity int, bin_offset int")
     return out.withColumnRenamed("id", id_col)
 
 

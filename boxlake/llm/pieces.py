@@ -11,7 +11,7 @@ import os
 
 import numpy as np
 
-from boxlake.llm.common import FOLDED, PLAIN, span_hashes, word_spans
+from boxlake.llm.common import FOLDED, PLAIN, kept, span_hashes, word_spans
 
 #: Pieces that a worker keeps; beyond it the table starts anew.
 KEPT_PIECES = 1_500_000
@@ -170,15 +170,16 @@ class Pieces:
         return self.ids[np.repeat(self.first[slots] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-_tables: dict[tuple, Pieces] = {}
+#: The kind of tasks whose workers keep tables of pieces.
+KIND = "pieces"
 
 
 def pieces(path: str, fold: bool, want_ids: bool) -> Pieces:
     """This worker's table for a tokenizer file."""
-    key = (path, fold, want_ids)
-    if key not in _tables:
-        _tables[key] = Pieces(path, fold, want_ids)
-    return _tables[key]
+    key, tables = (path, fold, want_ids), kept(KIND)
+    if key not in tables:
+        tables[key] = Pieces(path, fold, want_ids)
+    return tables[key]
 
 
 def text_sums(values: np.ndarray, starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import FOLDED, PLAIN, SPACE, arrow_rows, span_hashes, text_parts, word_spans
+from boxlake.llm.common import FOLDED, PLAIN, SPACE, arrow_rows, lean, span_hashes, text_parts, word_spans
 from boxlake.llm.toxicity import held_out, labelled_sample
 
 WORDS, FORMS, DIMENSIONS, CONTEXTS = 2048, 1024, 24, 128
@@ -94,7 +94,7 @@ def unit_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         sums = total[met] @ INDEX
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), *(pa.array(np.ascontiguousarray(sums[:, i])) for i in range(DIMENSIONS))], names=["unit", *names])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "unit long, " + ", ".join(f"{n} long" for n in names))
+    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(lean(count), "unit long, " + ", ".join(f"{n} long" for n in names))
     got = rows.groupBy("unit").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     out = np.zeros((UNITS, DIMENSIONS))
     if got.num_rows:
@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample)
     kind = rows.schema["_id"].dataType.simpleString()
-    got = rows.mapInArrow(pool, f"_id {kind}, y int, x binary").toArrow().sort_by([("_id", "ascending")])
+    got = rows.mapInArrow(lean(pool), f"_id {kind}, y int, x binary").toArrow().sort_by([("_id", "ascending")])
     x = np.array([np.frombuffer(v.as_py(), np.float32) for v in got["x"]], np.float32).reshape(-1, 3 * DIMENSIONS + 2)
     return vectors, fit(x, got["y"].to_numpy().astype(float))
 
@@ -212,10 +212,10 @@ def scored(docs: DataFrame, vectors: np.ndarray, net: Network, id_col: str, text
             yield b.filter(pa.array(shared.value[1].score(pooled(column, shared.value[0])) >= threshold))
 
     if keep_rows:
-        return docs.mapInArrow(keep, docs.schema)
+        return docs.mapInArrow(lean(keep), docs.schema)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("t"))
-    return out.mapInArrow(score, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return out.mapInArrow(lean(score), f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import arrow_rows, fresh_path, shuffle_partitions, text_parts
-from boxlake.llm.pieces import pieces, text_sums, word_level_spans
+from boxlake.llm.common import arrow_rows, fresh_path, lean, shuffle_partitions, text_parts
+from boxlake.llm.pieces import KIND, pieces, text_sums, word_level_spans
 
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIIQQB")
@@ -188,7 +188,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
         if held:
             yield flush()
 
-    rows.mapInArrow(write, "part int, shard int, first long, n_ids long, n_docs int, image binary").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(lean(write, KIND), "part int, shard int, first long, n_ids long, n_docs int, image binary").write.option("compression", "zstd").parquet(path)
 
 
 SHARD_SCHEMA = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int32()), ("image", pa.binary())])
@@ -218,7 +218,7 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # an image is megabytes
-    out = shards.select("part", "first", "image").mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    out = shards.select("part", "first", "image").mapInArrow(lean(read), "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake.llm.ann import usable
-from boxlake.llm.common import arrow_rows, settle
+from boxlake.llm.common import arrow_rows, lean, settle
 
 LISTS, QUERY_BLOCK = 2, 4096
 _LONG = (1 << 63) - 1
@@ -114,7 +114,7 @@ def _block(known: DataFrame, asking: DataFrame, k: int, lists: int) -> DataFrame
                 row, column = np.nonzero(np.isfinite(entry))
                 yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(np.full(len(row), i, np.int32)), pa.array(ids[row, column]), pa.array(entry[row, column]), pa.array(total[row, column])], names=["q", "list", "vec_id", "entry", "total"])
 
-    entries = known.mapInArrow(gather, "q int, list int, vec_id long, entry double, total double")
+    entries = known.mapInArrow(lean(gather), "q int, list int, vec_id long, entry double, total double")
     highest = Window.partitionBy("q", "list").orderBy(F.desc("entry"), "vec_id")
     first = entries.withColumn("_r", F.row_number().over(highest)).where(F.col("_r") <= k).groupBy("q", "vec_id").agg(F.max("total").alias("total"))
     by_total = Window.partitionBy("q").orderBy(F.desc("total"), "vec_id")
@@ -151,4 +151,4 @@ def _block(known: DataFrame, asking: DataFrame, k: int, lists: int) -> DataFrame
             exact = [max(-_LONG, min(_LONG, int(t))) for t in total] if total.dtype == object else total.astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[column]), pa.array(exact, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    return known.mapInArrow(resolve, "query_id long, vec_id long, score long")
+    return known.mapInArrow(lean(resolve), "query_id long, vec_id long, score long")

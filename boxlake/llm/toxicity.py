@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import FOLDED, arrow_rows, mixed, settle, span_hashes, text_parts, word_spans
+from boxlake.llm.common import FOLDED, arrow_rows, lean, mixed, settle, span_hashes, text_parts, word_spans
 
 BITS = 22
 #: Labelled rows that the model is fitted on, about.
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample)
     kind = rows.schema["_id"].dataType.simpleString()
-    got = rows.mapInArrow(hashed, f"_id {kind}, y int, f binary").toArrow().sort_by([("_id", "ascending")])
+    got = rows.mapInArrow(lean(hashed), f"_id {kind}, y int, f binary").toArrow().sort_by([("_id", "ascending")])
     return fit([np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in got["f"]], got["y"].to_numpy().astype(float), bits)
 
 
@@ -156,4 +156,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
     out = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("t"))
-    return out.mapInArrow(score, f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return out.mapInArrow(lean(score), f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

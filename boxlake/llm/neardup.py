@@ -13,6 +13,7 @@ could still join two components is thus looked at, without ever listing the pair
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +24,19 @@ from boxlake.llm.common import arrow_rows, lean, mixed, save, text_parts, words
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, LOW_BITS = 40, 8, 8
-#: A pair is looked at on full sets if its estimate is at least the threshold less this (five standard errors).
+#: A pair is looked at on full sets if its estimate is at least the threshold less this (about five standard errors).
 SLACK = 0.1
 #: Nodes of a bucket that are compared with all of it in one round, and rows of a part of a large bucket, about.
 HUBS, PART = 256, 256
 #: Bytes of shingle sets that a task keeps for further pairs.
 KEPT_BYTES = 1 << 26
 
-_K = BANDS * ROWS
-_random = np.random.Generator(np.random.PCG64(85))
-_XOR = _random.integers(0, 1 << 32, _K, dtype=np.uint32)
-_MUL = _random.integers(0, 1 << 32, _K, dtype=np.uint32) | np.uint32(1)
+
+@cache
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """What is xored and multiplied in each of n hash functions."""
+    random = np.random.Generator(np.random.PCG64(85))
+    return random.integers(0, 1 << 32, n, dtype=np.uint32), random.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -53,24 +56,25 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list
     return out
 
 
-def minima(s: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over a set."""
+def minima(s: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """The least value of each of n hash functions over a set."""
+    xor, mul = _functions(n)
     low = (s >> np.uint64(32)).astype(np.uint32)
-    out = np.full(_K, np.iinfo(np.uint32).max, np.uint32)
+    out = np.full(n, np.iinfo(np.uint32).max, np.uint32)
     for a in range(0, len(low), 2048):
-        x = low[a : a + 2048, None] ^ _XOR
-        x *= _MUL
+        x = low[a : a + 2048, None] ^ xor
+        x *= mul
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
         np.minimum(out, x.min(axis=0), out=out)
     return out
 
 
-def signature(s: np.ndarray) -> tuple[np.ndarray, bytes]:
+def signature(s: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, bytes]:
     """Band keys (64 bits, different for each band) and the packed low bits."""
-    m = minima(s)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in m.reshape(BANDS, ROWS).T:
+    m = minima(s, bands * rows)
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for row in m.reshape(bands, rows).T:
         keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + row)
     return keys.view(np.int64), (m & np.uint32((1 << LOW_BITS) - 1)).astype(np.uint8).tobytes()
 
@@ -81,7 +85,12 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def _packed_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Packed signatures, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str, k: int, n_bands: int, n_rows: int) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +100,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 for s in shingle_sets(buf, offsets, k):
                     sizes.append(len(s))
                     if len(s):
-                        band, packed = signature(s)
+                        band, packed = signature(s, n_bands, n_rows)
                         keys.append(band)
                         bits.append(packed)
                         with np.errstate(over="ignore"):
@@ -112,7 +121,9 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, _K) for i in (2, 3))
+            if not b.num_rows:
+                continue
+            x, y = (_packed_rows(b.column(i)) for i in (2, 3))
             e = estimates(x, y)
             out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(e)], names=["a", "b", "estimate"])
             yield out.filter(pa.array(e >= least))
@@ -135,8 +146,8 @@ def _across(hubs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         hub = t["hub"].to_numpy()
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(-1, _K)
-        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        bits = _packed_rows(t["bits"])
+        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
         key = t["key"][0].as_py()
         c, node, x, y = t["c"].to_numpy(), t["node"].to_numpy(), np.flatnonzero(hub), np.flatnonzero(~hub)
         found = []
@@ -228,17 +239,18 @@ def components(links: DataFrame) -> DataFrame:
             return total
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Group near-duplicates: (id, n_shingles long, component_id, kept boolean), one row per input row.
 
     Words are runs without ASCII white space, A-Z in lower case; a text with fewer words than a shingle has all of them
     as one; without words it has the empty set, links with nothing and is its own component. Two texts are linked if
     100 * intersection >= percent * union of their sets; a component's id is the least id in it, and only that one is
     kept. Rows that repeat an id are one document to the links. Rows without an id link with nothing: their component is
-    null and they are kept. Extra columns are not read. An empty table gives no rows.
+    null and they are kept. Extra columns are not read. An empty table gives no rows. A pair of similarity s is missed by
+    all bands with probability (1 - s ** rows) ** bands.
     """
     arrow_rows(docs.sparkSession)
-    signed = save(_signed(docs, id_col, text_col, shingle), "signed")
+    signed = save(_signed(docs, id_col, text_col, shingle, bands, rows), "signed")
     nodes = signed.where("n_shingles > 0 and id is not null").groupBy("print").agg(F.min(F.struct("id", "bands", "bits")).alias("m")).select("print", F.col("m.id").alias("node"), F.col("m.bands").alias("bands"), F.col("m.bits").alias("bits"))
     nodes = save(nodes, "nodes")
     component = _grouped(docs, id_col, text_col, nodes, shingle, percent)
@@ -287,12 +299,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, shin
                 component = components(links)
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs``, unchanged, whose id stays: one document of each group, and all rows without an id.
 
     Of rows that repeat an id one stays, the one with the least text.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, percent)
+    found = near_duplicates(docs, id_col, text_col, shingle, percent, bands, rows)
     kept = found.where("kept").select(F.col(id_col).alias("_kept")).where("_kept is not null").distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
     one = named.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("_row")).select("_row.*")

@@ -16,6 +16,9 @@ from boxlake.llm.packing import pack_documents
 from boxlake.llm.quality import keep_good
 from boxlake.llm.secrets import redact
 
+#: The near-duplicates stage links documents of this similarity. A pair at exactly 0.8 is missed by all bands with probability 3e-6.
+PERCENT, BANDS, ROWS = 80, 54, 7
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -24,7 +27,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return first_of_each(docs)
+    return first_of_each(docs, percent=PERCENT, bands=BANDS, rows=ROWS)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,6 +171,12 @@ def time_to_sample(spark, sf_dir):
     return index.time_to_sample(probes, tick_runs(spark, sf_dir), SCALE)
 
 
+@query()
+def time_to_sample_all(spark, sf_dir):
+    """As time_to_sample, for the time of every sample."""
+    return index.time_to_sample(media(spark, sf_dir).select("track", "t"), tick_runs(spark, sf_dir), SCALE)
+
+
 @query("""
 , probe AS (SELECT DISTINCT track, t FROM m WHERE sample % 7 = 0),
 hit AS (SELECT p.track, p.t, min(s.sample) AS sample FROM probe p JOIN times s ON p.track = s.track AND s.dts >= 0 AND s.dur > 0 AND (s.dts > p.t OR p.t < s.dts + s.dur) GROUP BY p.track, p.t)
@@ -180,6 +186,12 @@ def nearest_cover(spark, sf_dir):
     return index.nearest_cover(probes, index.sample_times(tick_runs(spark, sf_dir), SCALE))
 
 
+@query()
+def nearest_cover_all(spark, sf_dir):
+    """As nearest_cover, for the time of every sample."""
+    return index.nearest_cover(media(spark, sf_dir).select("track", "t"), index.sample_times(tick_runs(spark, sf_dir), SCALE))
+
+
 @query("""
 , fold AS (
   SELECT track, 0::BIGINT AS sample, 0::BIGINT AS chunk, 0::BIGINT AS first, 1::BIGINT AS n, coalesce(size, 0) AS bytes, t AS a, t + 1 AS z FROM m WHERE sample = 0

@@ -2,7 +2,8 @@
 
 The patterns give the base spans. Beyond them, a string in a sensitive context is measured by its marginal compressed
 bytes: what it adds to its surroundings when both are compressed with a dictionary of identifiers and code. Words, paths
-and names that the surroundings or the dictionary hold add little; keys and passwords add nearly their length.
+and names that the surroundings or the dictionary hold add little; keys and passwords add nearly their length. A string's
+other occurrences are not among its surroundings, and all of them are reported once one is found in a sensitive context.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 20
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 _CONTEXT = re.compile(r"key|secret|token|passw|pwd|auth|credential|private|bearer|signature", re.ASCII | re.IGNORECASE)
 #: Characters before a candidate that make its context sensitive; characters on both sides that it is compressed with.
 SENSITIVE, SURROUNDINGS = 64, 512
@@ -55,10 +57,50 @@ def _packed(data: bytes) -> int:
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes of text[start:end], for each of its bytes, within its surroundings."""
-    around = (text[max(0, start - SURROUNDINGS) : start] + "\n" + text[end : end + SURROUNDINGS]).encode()
-    inner = text[start:end].encode()
-    return (_packed(around + inner) - _packed(around)) / len(inner)
+    """Marginal compressed bytes of text[start:end], for each of its bytes, within its surroundings.
+
+    Other occurrences of the string are not part of its surroundings, nor what the border leaves of them.
+    """
+    inner, n = text[start:end], end - start
+    lo, hi = max(0, start - SURROUNDINGS), min(len(text), end + SURROUNDINGS)
+    if (at := text.find(inner, max(0, lo - n + 1), min(start, lo + n - 1))) >= 0 and at < lo:
+        lo = at + n
+    if (at := text.rfind(inner, max(end, hi - n + 1), hi + n - 1)) >= 0 and at + n > hi:
+        hi = at
+    around = (text[lo:start].replace(inner, "") + "\n" + text[end:hi].replace(inner, "")).encode()
+    raw = inner.encode()
+    return (_packed(around + raw) - _packed(around)) / len(raw)
+
+
+def _occurrences(text: str, candidates: list[tuple[int, int]], novel: set[str]) -> list[tuple[int, int]]:
+    """Where the candidates hold a novel string, whole or as a part; what overlaps is one span."""
+    heads: dict[str, list[str]] = {}
+    for s in novel:
+        heads.setdefault(s[:SHORTEST], []).append(s)
+    out: list[tuple[int, int]] = []
+    for a, z in candidates:
+        inner = text[a:z]
+        if inner in novel:
+            out.append((a, z))
+            continue
+        for i in range(len(inner) - SHORTEST + 1):
+            n = max((len(s) for s in heads.get(inner[i : i + SHORTEST], ()) if inner.startswith(s, i)), default=0)
+            if n and out and out[-1][1] > a + i:
+                out[-1] = out[-1][0], max(out[-1][1], a + i + n)
+            elif n:
+                out.append((a + i, a + i + n))
+    return out
+
+
+def _apart(spans: list[tuple[int, int]], base: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The spans that overlap none of base; both are in order."""
+    k = reach = 0
+    for a, z in spans:
+        while k < len(base) and base[k][0] < z:
+            reach = max(reach, base[k][1])
+            k += 1
+        if reach <= a:
+            yield a, z
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -67,16 +109,13 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text) if m.end() - m.start() >= 24]
     base = sorted((a, z) for _, a, z in found)
-    k = reach = 0
-    for m in _CANDIDATE.finditer(text):
-        a, z = m.span()
-        while k < len(base) and base[k][0] < z:
-            reach = max(reach, base[k][1])
-            k += 1
-        inner = m[0]
-        mixed = any(c.isdigit() for c in inner) and any(c.isalpha() for c in inner)
-        if reach <= a and mixed and _CONTEXT.search(text, max(0, a - SENSITIVE), a) and novelty(text, a, z) >= NOVELTY:
-            found.append(("novel", a, z))
+    candidates = [m.span() for m in _CANDIDATE.finditer(text)]
+    novel: set[str] = set()
+    for a, z in _apart(candidates, base):
+        if text[a:z] not in novel and _CONTEXT.search(text, max(0, a - SENSITIVE), a) and novelty(text, a, z) >= NOVELTY:
+            novel.add(text[a:z])
+    if novel:
+        found += [("novel", a, z) for a, z in _apart(_occurrences(text, candidates, novel), base)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -105,8 +144,8 @@ SPANS = "array<struct<kind:string,start:long,end:long>>"
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of every whole text: (id, spans array of (kind, start, end) in code points, end exclusive, by start and kind).
 
-    Kinds: assign, access, hex (the fixed patterns), novel (incompressible strings in a sensitive context that overlap no
-    other span). One row per input row; a null or empty text has an empty list. Texts of any length are scanned whole.
+    Kinds: assign, access, hex (the fixed patterns), novel (incompressible strings in a sensitive context, and all
+    their other occurrences in the text, that overlap no other span). One row per input row; a null or empty text has an empty list. Texts of any length are scanned whole.
     Nothing is shuffled.
     """
     arrow_rows(docs.sparkSession)

@@ -38,7 +38,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
 
     Symbols below ``base`` are ids, ``base + i`` is rule i. Each round counts all neighbouring pairs exactly and gives
     the (at most ``batch``) most frequent, met ``least`` times or more, a rule; overlapping occurrences are taken from
-    the left. It stops when no pair is that frequent.
+    the left. It stops when no pair is that frequent, and after ``rounds`` rounds at the latest: a rule is then at most
+    ``rounds`` deep and stands for at most ``2 ** rounds`` ids. Of pairs that meet in a hash place only the last gets a rule.
     """
     narrow = base + rounds * batch < 1 << 16
     kind, shift = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))

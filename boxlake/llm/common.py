@@ -12,13 +12,13 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,14 +40,25 @@ _powers = np.ones((2, 1), np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where none is configured (tests, local runs)."""
+    """The folder that all executors share; a folder of our own only where none is configured and all run on one machine.
+
+    On a cluster without one this raises: executors would each write to a disk of their own, and recovery would fail.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
+def free(df_path: str, spark: SparkSession) -> None:
+    """Remove a written table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(df_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the session's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -71,7 +82,26 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of BATCH_ROWS rows at most; a session that has them smaller keeps its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each made longer until no column has it (Spark's names are the same in either case)."""
+    have, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 #: What kinds of tasks keep in a worker for the next task of their kind.

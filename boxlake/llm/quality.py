@@ -1,9 +1,11 @@
 """Quality classifier: random-indexing word vectors, pooled by document, and a small calibrated network.
 
 Units are words and word forms (a form keeps what kinds of characters a word has, in order: `Aa.`, `a#`, `A!`, `|`, and
-whether the word repeats its neighbour). A unit's vector is the sum of the fixed ternary index vectors of the units around
-all its occurrences in the whole corpus. A document is the mean of its units' vectors and of its forms' index vectors. A
-two-layer network in numpy is fitted on a bounded sample of labelled rows and its logits are scaled by a temperature.
+whether the word repeats its neighbour). Every word has a fixed sparse ternary index vector; a unit's vector is the sum of
+the index vectors of the words around all its occurrences in the whole corpus. A document is the mean of its words' vectors
+beside the mean of its forms' vectors, and nothing else. A two-layer network in numpy is fitted on a bounded sample of
+labelled rows and its logits are scaled by a temperature. Products are summed in one fixed order, so that a text's score
+does not depend on the texts that share its batch.
 """
 
 from __future__ import annotations
@@ -19,10 +21,13 @@ from pyspark.sql import functions as F
 from boxlake.llm.common import FOLDED, PLAIN, SPACE, arrow_rows, lean, span_hashes, text_parts, word_spans
 from boxlake.llm.toxicity import held_out, labelled_sample
 
-WORDS, FORMS, DIMENSIONS, CONTEXTS = 2048, 1024, 24, 128
+#: Places of the hashed words and forms; dimensions of the vectors; entries of an index vector that are not 0; words on each side.
+WORDS, FORMS, DIMENSIONS, ENTRIES, REACH = 1 << 16, 1024, 24, 4, 2
 #: Labelled rows that the network is fitted on, about.
 SAMPLE = 16_000
 UNITS = WORDS + FORMS
+#: Rows that the network works on at a time.
+HEIGHT = 256
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = ord("a")
 _CLASS[65:91] = ord("A")
@@ -30,11 +35,11 @@ _CLASS[48:58] = ord("9")
 
 
 def _index_vectors() -> np.ndarray:
-    """Sparse ternary vectors: four entries of +1 or -1 for each context."""
+    """Sparse ternary vectors: ENTRIES entries of +1 or -1 for each place of a word."""
     random = np.random.Generator(np.random.PCG64(3))
-    out = np.zeros((CONTEXTS, DIMENSIONS), np.int64)
-    for row in out:
-        row[random.permutation(DIMENSIONS)[:4]] = random.choice([-1, 1], 4)
+    out = np.zeros((WORDS, DIMENSIONS), np.int8)
+    at = np.argsort(random.random((WORDS, DIMENSIONS)), axis=1)[:, :ENTRIES]
+    out[np.arange(WORDS)[:, None], at] = random.choice(np.array([-1, 1], np.int8), (WORDS, ENTRIES))
     return out
 
 
@@ -61,21 +66,26 @@ def units(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (h % np.uint64(WORDS)).astype(np.int64), f + WORDS, of
 
 
-def context_counts(column: pa.Array) -> np.ndarray:
-    """Counts of (unit, context) over the texts; the contexts are the words and forms one and two places away."""
-    out = np.zeros(UNITS * CONTEXTS, np.int64)
-    for _, _, buf, offsets in text_parts(column):
-        if not len(buf):
-            continue
-        w, f, of = units(buf, offsets)
-        cw, cf = (w * 31 + 7) % CONTEXTS, (f * 17 + 3) % CONTEXTS
-        for gap in (1, 2):
-            same = of[gap:] == of[:-gap]
-            for unit in (w, f):
-                for context in (cw, cf) if gap == 1 else (cf,):
-                    out += np.bincount((unit[gap:] * CONTEXTS + context[:-gap])[same], minlength=len(out))
-                    out += np.bincount((unit[:-gap] * CONTEXTS + context[gap:])[same], minlength=len(out))
-    return out.reshape(UNITS, CONTEXTS)
+def neighbour_sums(w: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each word the sum of the index vectors of the words up to REACH places away in its text."""
+    own = INDEX[w]
+    out = np.zeros(own.shape, np.int16)
+    for gap in range(1, min(REACH, len(w) - 1) + 1):
+        out[gap:] += own[:-gap]
+        out[:-gap] += own[gap:]
+        over = np.flatnonzero(of[gap:] != of[:-gap])  # the few that reach over the border of a text
+        out[over + gap] -= own[over]
+        out[over] -= own[over + gap]
+    return out
+
+
+def add_sums(total: np.ndarray, unit: np.ndarray, sums: np.ndarray) -> None:
+    """Add each row of ``sums`` to its unit's row of ``total``."""
+    unit = unit.astype(np.uint16 if UNITS <= 1 << 16 else np.uint32)
+    order = np.argsort(unit, kind="stable")
+    ordered = unit[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    total[ordered[first]] += np.add.reduceat(sums[order], first, axis=0, dtype=np.int32)
 
 
 def unit_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -87,12 +97,18 @@ def unit_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     names = [f"d{i}" for i in range(DIMENSIONS)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((UNITS, CONTEXTS), np.int64)
+        total = np.zeros((UNITS, DIMENSIONS), np.int64)
         for b in batches:
-            total += context_counts(b.column(0))
+            for _, _, buf, offsets in text_parts(b.column(0)):
+                w, f, of = units(buf, offsets) if len(buf) else (np.zeros(0, np.int64),) * 3
+                if len(w):
+                    sums = neighbour_sums(w, of)
+                    add_sums(total, w, sums)
+                    add_sums(total, f, sums)
         met = np.flatnonzero(total.any(axis=1))
-        sums = total[met] @ INDEX
-        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), *(pa.array(np.ascontiguousarray(sums[:, i])) for i in range(DIMENSIONS))], names=["unit", *names])
+        for a in range(0, len(met), 1 << 13):
+            some = met[a : a + (1 << 13)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(np.ascontiguousarray(total[some, i])) for i in range(DIMENSIONS))], names=["unit", *names])
 
     rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(lean(count), "unit long, " + ", ".join(f"{n} long" for n in names))
     got = rows.groupBy("unit").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
@@ -104,11 +120,8 @@ def unit_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """One row a text: means of its word vectors, form vectors and form index vectors, and the log of its words."""
-    raw = np.zeros((UNITS, DIMENSIONS), np.float32)
-    raw[WORDS:] = INDEX[(np.arange(WORDS, UNITS) * 17 + 3) % CONTEXTS] / 2
-    out = np.zeros((len(column), 3 * DIMENSIONS + 2), np.float32)
-    both = np.concatenate([vectors, raw], 1)
+    """One row a text: the means of its word vectors and of its form vectors."""
+    out = np.zeros((len(column), 2 * DIMENSIONS), np.float32)
     for a, z, buf, offsets in text_parts(column):
         if not len(buf):
             continue
@@ -119,10 +132,8 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(n)
         first = np.searchsorted(of, some)
         out[a + some, :DIMENSIONS] = np.add.reduceat(vectors[w], first, 0)
-        out[a + some, DIMENSIONS : 3 * DIMENSIONS] = np.add.reduceat(both[f], first, 0)
-        out[a + some, -2] = np.add.reduceat((f == UNITS - 1).astype(np.float32), first)
-        out[a + some, :-1] /= n[some, None]
-        out[a + some, -1] = np.log1p(n[some]) / 10
+        out[a + some, DIMENSIONS:] = np.add.reduceat(vectors[f], first, 0)
+        out[a + some] /= n[some, None]
     return out
 
 
@@ -137,10 +148,30 @@ class Network:
     temperature: float = 1.0
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(((x - self.mean) / self.scale) @ self.w1 + self.b1) @ self.w2 + self.b2
+        """Sums in one fixed order, in blocks of one height: a row's bits are the same in any batch, unlike with a matrix product."""
+        out = np.empty(len(x))
+        for a in range(0, len(x), HEIGHT):
+            some = x[a : a + HEIGHT]
+            block = np.zeros((HEIGHT, x.shape[1]))
+            block[: len(some)] = (some - self.mean) / self.scale
+            hidden = np.tile(self.b1, (HEIGHT, 1))
+            for j in range(x.shape[1]):
+                hidden += block[:, j, None] * self.w1[j]
+            hidden = np.tanh(hidden)
+            total = np.full(HEIGHT, self.b2)
+            for j in range(hidden.shape[1]):
+                total += hidden[:, j] * self.w2[j]
+            out[a : a + HEIGHT] = total[: len(some)]
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x.astype(np.float64)) / self.temperature, -35, 35)))
+        """Probabilities that the label is 1; a row at a time is as good as all."""
+        out = np.empty(len(x))
+        logits = self.logits(x.astype(np.float64)) / self.temperature
+        for a in range(0, len(x), HEIGHT):
+            some = logits[a : a + HEIGHT]
+            out[a : a + HEIGHT] = (1 / (1 + np.exp(-np.clip(np.r_[some, np.zeros(HEIGHT - len(some))], -35, 35))))[: len(some)]
+        return out
 
 
 def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, seed: int = 11) -> Network:
@@ -191,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample)
     kind = rows.schema["_id"].dataType.simpleString()
     got = rows.mapInArrow(lean(pool), f"_id {kind}, y int, x binary").toArrow().sort_by([("_id", "ascending")])
-    x = np.array([np.frombuffer(v.as_py(), np.float32) for v in got["x"]], np.float32).reshape(-1, 3 * DIMENSIONS + 2)
+    x = np.array([np.frombuffer(v.as_py(), np.float32) for v in got["x"]], np.float32).reshape(-1, 2 * DIMENSIONS)
     return vectors, fit(x, got["y"].to_numpy().astype(float))
 
 

@@ -17,31 +17,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import arrow_rows, lean, running_offsets, settle, shuffle_partitions, text_parts, word_spans, words
+from boxlake.llm.common import arrow_rows, lean, quoted, running_offsets, save, settle, shuffle_partitions, text_parts, unused, word_spans, words
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
-#: The driver and every task hold a few numbers for each source.
-MOST_SOURCES = 100_000
-#: numpy draws from urns below this number; larger ones are divided in proportion.
-_URN = 900_000_000
+#: Tables of sources are broadcast up to this number of rows, beyond it they are joined by shuffle.
+BROADCAST_SOURCES = 100_000
+#: Things that are drawn one by one; more are drawn in bulk first.
+_FEW = 1 << 16
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], most: float = MOST_REPEATS) -> list[float]:
     """Shares of the sum of sizes by weight; none is above ``most`` times its size, what is over is shared out again."""
-    left, open_, out = float(sum(sizes)), list(range(len(sizes))), [0.0] * len(sizes)
-    while open_:
-        whole = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / whole > most * sizes[i]]
-        for i in full or open_:
-            out[i] = float(most * sizes[i]) if full else left * weights[i] / whole
-        if not full:
+    size, weight = np.array(sizes, np.float64), np.array(weights, np.float64)
+    left, open_, out = float(sum(sizes)), np.arange(len(size)), np.zeros(len(size))
+    while len(open_):
+        share = left * weight[open_] / weight[open_].sum()
+        full = share > most * size[open_]
+        if not full.any():
+            out[open_] = share
             break
-        left -= sum(out[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
+        out[open_[full]] = most * size[open_[full]]
+        left -= float(out[open_[full]].sum())
+        open_ = open_[~full]
+    return out.tolist()
 
 
 # ---------------------------------------------------------------- permutations
@@ -112,11 +113,32 @@ def plan_sources(found: Sequence[tuple[str | None, int]], seed: int, block: int
     return out
 
 
+def drawn(random: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
+    """How many of each kind are among ``take`` things drawn without replacement, for any numbers.
+
+    Each thing is taken by a coin first (a binomial number of each kind). Given how many these are, they are a random
+    subset, and so it stays one when as many as are missing are drawn from the others, or as many as are too many from
+    the taken: a far smaller draw of the same sort.
+    """
+    whole = int(counts.sum())
+    if 2 * take > whole:
+        return counts - drawn(random, counts, whole - take)
+    if take <= _FEW:
+        at = np.zeros(0, np.int64)
+        while len(at) < take:
+            at = np.unique(np.concatenate([at, random.integers(0, whole, take - len(at))]))
+        return np.bincount(np.searchsorted(np.cumsum(counts), at, "right"), minlength=len(counts)).astype(np.int64)
+    taken = random.binomial(counts, take / whole)
+    short = take - int(taken.sum())
+    return taken + drawn(random, counts - taken, short) if short >= 0 else taken - drawn(random, taken, -short)
+
+
 def shard_counts(slots: np.ndarray, shard_slots: int, seed: int, first: int, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For shards first..end-1: shard, its slots of each source, and the slots of each source before it.
 
     The slots are split in halves down a tree, each node with a random state of its own, so any task can find the draws
-    of its shards without the others.
+    of its shards without the others. What a half gets is drawn without replacement: the multinomial of its shards,
+    conditioned on the sources' totals.
     """
     total = int(slots.sum())
     shards = -(-total // shard_slots)
@@ -128,17 +150,9 @@ def shard_counts(slots: np.ndarray, shard_slots: int, seed: int, first: int, end
             yield lo, counts, before
             return
         mid = (lo + hi) // 2
-        take, here = (mid - lo) * shard_slots, int(counts.sum())
-        if here < _URN:
-            left = np.random.Generator(np.random.PCG64([seed, lo, hi])).multivariate_hypergeometric(counts, take)
-        else:
-            exact = counts * (take / here)
-            left = np.minimum(np.floor(exact).astype(np.int64), counts)
-            for i in np.argsort(left - exact, kind="stable"):
-                short = take - int(left.sum())
-                if short <= 0:
-                    break
-                left[i] += min(1, short, counts[i] - left[i])
+        some = np.flatnonzero(counts)
+        left = np.zeros_like(counts)
+        left[some] = drawn(np.random.Generator(np.random.PCG64([seed, lo, hi])), counts[some], (mid - lo) * shard_slots)
         yield from down(lo, mid, left, before)
         yield from down(mid, hi, counts - left, before + left)
 
@@ -147,7 +161,7 @@ def shard_counts(slots: np.ndarray, shard_slots: int, seed: int, first: int, end
 
 
 def slots(spark: SparkSession, sources: Sequence[Source], seed: int, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """All output slots: (shard long, slot int, src long, block long, words int)."""
+    """All output slots: (shard long, slot int, src long, block long, words int, whole boolean: all words of the block)."""
     n = np.array([s.slots for s in sources], np.int64)
     shards = -(-int(n.sum()) // shard_slots)
     plain = [(s.blocks, s.slots, s.last, s.cut) for s in sources]
@@ -156,7 +170,7 @@ def slots(spark: SparkSession, sources: Sequence[Source], seed: int, block: int
         for b in batches:
             ids = b.column(0).to_numpy()
             for shard, counts, before in shard_counts(n, shard_slots, seed, int(ids[0]), int(ids[-1]) + 1) if len(ids) else ():
-                src, blocks, size = [], [], []
+                src, blocks, size, all_words = [], [], [], []
                 for i in np.flatnonzero(counts):
                     of, all_, last, cut = plain[i]
                     j = np.arange(before[i], before[i] + counts[i])
@@ -164,47 +178,47 @@ def slots(spark: SparkSession, sources: Sequence[Source], seed: int, block: int
                     for p in np.unique(j // of):
                         here = j // of == p
                         number[here] = permuted(j[here] % of, of, (seed, int(i), int(p)))
-                    taken = np.where(number == of - 1, last, block)
-                    if cut:
-                        taken[j == all_ - 1] = cut
+                    full = np.where(number == of - 1, last, block)
+                    taken = np.where(j == all_ - 1, cut, full) if cut else full
+                    all_words.append(taken == full)
                     src.append(np.full(len(j), i))
                     blocks.append(number)
                     size.append(taken)
                 order = np.random.Generator(np.random.PCG64([seed, shard, 0, 1])).permutation(int(counts.sum()))
                 out = [np.concatenate(x)[order].astype(np.int64) for x in (src, blocks, size)]
                 k = len(order)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard), pa.int64()), pa.array(np.arange(k), pa.int32()), pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32))], names=["shard", "slot", "src", "block", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, shard), pa.int64()), pa.array(np.arange(k), pa.int32()), pa.array(out[0]), pa.array(out[1]), pa.array(out[2].astype(np.int32)), pa.array(np.concatenate(all_words)[order])], names=["shard", "slot", "src", "block", "words", "whole"])
 
-    return spark.range(0, shards, 1, max(1, min(shards, shuffle_partitions(spark)))).mapInArrow(lean(draw), "shard long, slot int, src long, block long, words int")
+    return spark.range(0, shards, 1, max(1, min(shards, shuffle_partitions(spark)))).mapInArrow(lean(draw), "shard long, slot int, src long, block long, words int, whole boolean")
 
 
 # ---------------------------------------------------------------- documents
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, size long, h long): words of each whole text; h tells rows of one id apart."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, key_col: str | None = None) -> DataFrame:
+    """(id, source, size long, h long, key long): words of each whole text; h tells rows of one id apart, by their texts
+    or, of rows with a key of their own, by all that can be hashed."""
     arrow_rows(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = np.zeros(b.num_rows, np.int64)
-            for a, z, buf, offsets in text_parts(b.column(3)):
+            for a, z, buf, offsets in text_parts(b.column(4)):
                 starts, _ = word_spans(buf, offsets)
                 out[a:z] = np.diff(np.searchsorted(starts, offsets))
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out), b.column(2)], names=["id", "source", "size", "h"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out), *b.columns[2:4]], names=["id", "source", "size", "h", "key"])
 
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), _mark(text).alias("h"), text.alias("t")).mapInArrow(lean(count), f"id {kind}, source string, size long, h long")
-
-
-def _mark(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    text = quoted(text_col).cast("string")
+    others = [] if key_col is None else [quoted(c) for c, t in docs.dtypes if c not in (text_col, key_col) and "map<" not in t and "variant" not in t]
+    mark = F.xxhash64(F.coalesce(text, F.lit("")), *others)
+    key = F.lit(0).cast("long") if key_col is None else quoted(key_col)
+    return docs.select(quoted(id_col).alias("id"), quoted(source_col).cast("string").alias("source"), mark.alias("h"), key.alias("key"), text.alias("t")).mapInArrow(lean(count), f"id {kind}, source string, size long, h long, key long")
 
 
 @dataclass
 class Mix:
-    """``docs``: (id, source, size, h, src, offset); ``segments``: (id, h, src, offset, size, block, at, skip, n): a document's
+    """``docs``: (id, source, size, h, key, src, offset); ``segments``: (key, src, offset, size, block, at, skip, n): a document's
     words from word ``at`` on that are words ``skip`` to ``skip + n`` of a block; ``slots``: see slots()."""
 
     docs: DataFrame
@@ -213,30 +227,27 @@ class Mix:
     sources: list[Source]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = BLOCK_WORDS, weights: Sequence[float] = WEIGHTS) -> Mix:
-    """Plan the mix. The driver gets one size a source (at most MOST_SOURCES), never rows."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, block: int = BLOCK_WORDS, weights: Sequence[float] = WEIGHTS, key_col: str | None = None) -> Mix:
+    """Plan the mix. The driver gets one size a source, never rows; every task gets a few numbers for each source."""
     spark = docs.sparkSession
-    rows = settle(sized(docs, id_col, text_col, source_col))
-    found = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()]
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    rows = settle(sized(docs, id_col, text_col, source_col, key_col))
+    found = [(r["source"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     sources = plan_sources(found, seed, block, weights)
-    schema = "source string, src long, source_size long, target double"
+    schema = "_source string, src long, source_size long, target double"
     named = spark.createDataFrame([(s.name, i, s.size, s.target) for i, s in enumerate(sources)], schema)
-    numbered = rows.join(F.broadcast(named), rows["source"].eqNullSafe(named["source"])).drop(named["source"])
+    named = F.broadcast(named) if len(sources) <= BROADCAST_SOURCES else named
+    numbered = rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     laid = running_offsets(numbered, "src", ["id", "h"], "size", "offset")
     first = F.col("offset")
-    parts = laid.where("size > 0").select("id", "h", "src", "offset", "size", F.explode(F.expr(f"sequence(offset div {block}, (offset + size - 1) div {block})")).alias("block"))
+    parts = laid.where("size > 0").select("key", "src", "offset", "size", F.explode(F.expr(f"sequence(offset div {block}, (offset + size - 1) div {block})")).alias("block"))
     begin = F.greatest(F.col("block") * block, first)
     segments = parts.select("*", (begin - first).alias("at"), (begin - F.col("block") * block).alias("skip"), (F.least((F.col("block") + 1) * block, first + F.col("size")) - begin).alias("n"))
     return Mix(laid, segments, slots(spark, sources, seed, block), sources)
 
 
-def takes(m: Mix, block: int = BLOCK_WORDS) -> DataFrame:
+def takes(m: Mix) -> DataFrame:
     """Segments that the mix takes: columns of ``segments``, ``whole`` (times all of it is taken) and ``part`` (words of one more, cut, take)."""
-    full = F.col("words") == F.when(F.col("block") == F.col("blocks") - 1, F.col("last")).otherwise(F.lit(block))
-    ends = m.docs.sparkSession.createDataFrame([(i, s.blocks, s.last) for i, s in enumerate(m.sources)], "src long, blocks long, last long")
-    by_block = m.slots.join(F.broadcast(ends), "src").groupBy("src", "block").agg(F.count_if(full).alias("whole"), F.max(F.when(~full, F.col("words"))).alias("cut"))
+    by_block = m.slots.groupBy("src", "block").agg(F.count_if("whole").alias("whole"), F.max(F.when(~F.col("whole"), F.col("words"))).alias("cut"))
     return m.segments.join(by_block, ["src", "block"]).withColumn("part", F.least(F.col("n"), F.greatest(F.lit(0), F.coalesce("cut", F.lit(0)) - F.col("skip"))).cast("long")).drop("cut")
 
 
@@ -245,7 +256,8 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Sources by code point, null last, weigh WEIGHTS in turn and share 100 % of all words; see targets(). A null or empty
     text has size and taken 0. Repeated rows are mixed each for itself; a null id is as good as another. An empty table
-    gives no rows. ``taken`` is at most MOST_REPEATS times ``size``; a source's sum of ``taken`` is its target, rounded.
+    gives no rows; other columns are not read. ``taken`` is at most MOST_REPEATS times ``size``; a source's sum of
+    ``taken`` is its target, rounded.
     """
     m = mix(docs, id_col, text_col, source_col, seed)
     got = takes(m).select("src", "offset", (F.col("whole") * F.col("n") + F.col("part")).alias("taken")).groupBy("src", "offset").agg(F.sum("taken").alias("taken"))
@@ -257,21 +269,20 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
     """The documents as the mix has them: texts hold the taken words, repeated where they are taken again.
 
-    Rows of one id and text are one document; documents of which nothing is taken go (those without words stay as they
-    are). Other columns keep their values, ``n_chars`` follows the text. A text that is taken once, whole, is unchanged.
+    Rows are mixed each for itself, repeated rows and rows without an id too. Documents of which nothing is taken go;
+    those without words (null texts among them) stay as they are. Other columns, whatever their names, keep their values;
+    ``n_chars`` follows the text. A text that is taken once, whole, is unchanged. An empty table gives no rows. The rows
+    are written once with a number each; sizes and places go with the numbers, whole texts are shuffled once.
     """
-    spark = docs.sparkSession
-    text = F.col(text_col).cast("string")
-    clean = docs.withColumn("_h", _mark(text)).dropDuplicates([id_col, "_h"])
-    m = mix(clean.drop("_h"), id_col, text_col, source_col, seed)
-    spans = takes(m).where("whole > 0 or part > 0").groupBy("id", "h").agg(F.collect_list(F.struct("at", "n", "whole", "part")).alias("_spans"), F.max("size").alias("_size"))
-    spans = spans.withColumnsRenamed({"id": "_id", "h": "_hash"})
-    joined = clean.join(spans, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left").drop("_id", "_hash")
-    joined = joined.where(F.col("_spans").isNotNull() | ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")).drop("_h")
-    arrow_rows(spark)
     names = docs.columns
-    at, chars = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
+    number, sized_, spans_, other = unused(names, "number", "sized", "spans", "other")
     schema = docs.schema
+    rows = save(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    m = mix(rows, id_col, text_col, source_col, seed, key_col=number)
+    spans = takes(m).where("whole > 0 or part > 0").groupBy("key").agg(F.collect_list(F.struct("at", "n", "whole", "part")).alias(spans_))
+    kept = m.docs.select("key", F.col("size").alias(sized_)).join(spans, "key", "left").where((F.col(sized_) == 0) | F.col(spans_).isNotNull()).withColumnRenamed("key", other)
+    joined = rows.join(kept, F.col(number) == F.col(other))
+    at, chars = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,7 +300,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 columns[chars] = pa.array(sizes, b.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*[F.col(f"`{c}`") for c in names], "_spans", "_size").mapInArrow(lean(build), schema)
+    return joined.select(*map(quoted, names), spans_, sized_).mapInArrow(lean(build), schema)
 
 
 def taken_text(text: str, spans: Sequence[tuple[int, int, int, int]]) -> str:

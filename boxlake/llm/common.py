@@ -12,6 +12,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -53,12 +54,6 @@ def shared_dir(spark: SparkSession) -> str:
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
-def free(df_path: str, spark: SparkSession) -> None:
-    """Remove a written table that nothing reads any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, removed when the session's JVM ends."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -72,7 +67,22 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _saved[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: Where the tables of save() are, by the identity of their DataFrame.
+_saved: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove tables of save() that nothing reads any more."""
+    for df in tables:
+        known, path = _saved.pop(id(df), (lambda: None, ""))
+        if known() is df:
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import arrow_rows, lean, mixed, save, text_parts, words
+from boxlake.llm.common import arrow_rows, free, lean, mixed, quoted, save, text_parts, unused, words
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS, LOW_BITS = 40, 8, 8
 #: A pair is looked at on full sets if its estimate is at least the threshold less this (about five standard errors).
 SLACK = 0.1
-#: Nodes of a bucket that are compared with all of it in one round, and rows of a part of a large bucket, about.
+#: Nodes of a bucket that are compared with all of it in the first round (twice as many in each further one), and rows of a part, about.
 HUBS, PART = 256, 256
 #: Bytes of shingle sets that a task keeps for further pairs.
 KEPT_BYTES = 1 << 26
@@ -111,7 +111,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int, n_bands: int, n
                         prints.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n_shingles", "print", "bands", "bits"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(lean(sign), f"id {kind}, n_shingles long, print binary, bands array<long>, bits binary")
+    return docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("t")).mapInArrow(lean(sign), f"id {kind}, n_shingles long, print binary, bands array<long>, bits binary")
 
 
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
@@ -134,14 +134,15 @@ def _near(pairs: DataFrame, percent: int) -> DataFrame:
 def _across(hubs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of a hub and a member of its bucket in different components, if the estimate lets them through.
 
-    Both tables are (key, part, c, node, bits, bands). A pair that shares several buckets comes from the first of them
-    only, so each comes once (twice, where both are hubs). The members of a bucket are dealt over parts of bounded size and its hubs
-    are in each. Signatures are compared within the task: pairs that fail are never rows.
+    Both tables are (key, part, some, c, node, bits, bands). A pair that shares several buckets comes from the first of them
+    only, so each comes once (twice, where both are hubs). The members of a bucket are dealt over parts and its hubs over
+    blocks (``some``), both of bounded size, and every part meets every block. Signatures are compared within the task:
+    pairs that fail are never rows.
     """
     least = percent / 100 - SLACK
     kind = members.schema["node"].dataType.simpleString()
-    both = members.select("key", "part", F.lit(False).alias("hub"), "c", "node", "bits", "bands").unionByName(hubs.select("key", "part", F.lit(True).alias("hub"), "c", "node", "bits", "bands"))
-    both = both.repartition("key", "part").sortWithinPartitions("key", "part")
+    both = members.select("key", "part", "some", F.lit(False).alias("hub"), "c", "node", "bits", "bands").unionByName(hubs.select("key", "part", "some", F.lit(True).alias("hub"), "c", "node", "bits", "bands"))
+    both = both.repartition("key", "part", "some").sortWithinPartitions("key", "part", "some")
 
     def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
@@ -168,13 +169,13 @@ def _across(hubs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         group = None
         for b in batches:
-            key, part = b.column(0).to_numpy(), b.column(1).to_numpy()
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]) if len(key) else []
+            key, part, some = (b.column(i).to_numpy() for i in range(3))
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (some[1:] != some[:-1])]) if len(key) else []
             for a, z in zip(starts, [*starts[1:], len(key)], strict=True):
-                if held and (key[a], part[a]) != group:
+                if held and (key[a], part[a], some[a]) != group:
                     yield pairs(held)
                     held = []
-                group = key[a], part[a]
+                group = key[a], part[a], some[a]
                 held.append(b.slice(a, z - a))
         if held:
             yield pairs(held)
@@ -224,21 +225,38 @@ def components(links: DataFrame) -> DataFrame:
         hooks = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "hooks")
         while True:  # follow hooks
             further = hooks.alias("h").join(hooks.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("component") == F.col("_n"), "left")
-            further = save(further.select("node", F.coalesce("_c", "component").alias("component"), (F.coalesce("_c", "component") != F.col("component")).alias("moved")), "hooks")
+            further = save(further.select(F.col("h.node").alias("node"), F.coalesce("_c", "component").alias("component"), (F.coalesce("_c", "component") != F.col("component")).alias("moved")), "hooks")
             done = further.where("moved").isEmpty()
-            hooks = further.drop("moved")
+            free(hooks)
+            hooks = further
             if done:
                 break
         if total is None:
-            total = hooks
+            total = save(hooks.select("node", "component"), "components")
         else:
-            total = save(total.join(hooks.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").select("node", F.coalesce("_c", "component").alias("component")), "components")
+            further = save(total.join(hooks.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").select("node", F.coalesce("_c", "component").alias("component")), "components")
+            free(total)
+            total = further
         left = edges.join(hooks.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(hooks.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
-        edges = save(left.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        further = save(left.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        free(edges, hooks)
+        edges = further
         if edges.isEmpty():
             return total
 
 
+def joined_components(component: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links (a, b): only the components that these touch are worked on."""
+    ends = component.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    by_a = links.join(ends, F.col("a") == F.col("_n"), "left").select(F.coalesce("_c", "a").alias("a"), "b")
+    over = by_a.join(ends, F.col("b") == F.col("_n"), "left").select("a", F.coalesce("_c", "b").alias("b"))
+    moved = components(over)
+    known = component.join(moved.select(F.col("node").alias("component"), F.col("component").alias("_c")), "component", "left").select("node", F.coalesce("_c", "component").alias("component"))
+    out = save(known.unionByName(moved.join(component, "node", "left_anti").select("node", "component")), "components")
+    free(component, moved)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Group near-duplicates: (id, n_shingles long, component_id, kept boolean), one row per input row.
 
@@ -271,41 +289,52 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, shin
     pairs = members.where("node <> hub").select("key", F.col("node").alias("b"), F.col("bits").alias("y")).join(hubs, "key")
     best = _near(pairs, percent).groupBy("b").agg(F.max(F.struct("estimate", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
     best = save(best, "best")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
     wanted = members.select("node").distinct()
-    texts = save(docs.select(F.col(id_col).alias("node"), text.alias("t")).join(wanted, "node", "left_semi").dropDuplicates(["node", "t"]), "texts")
+    texts = save(docs.select(quoted(id_col).alias("node"), text.alias("t")).join(wanted, "node", "left_semi").dropDuplicates(["node", "t"]), "texts")
     links = save(_confirmed(best, texts, shingle, percent), "links")
     component = components(links)
-    members = members.select("key", "node", "bits", "bands")
+    hub_rows = HUBS
+    rest = members.select("key", "node", "bits", "bands")
     while True:
-        labelled = members.join(component, "node", "left").select("key", "node", "bits", "bands", F.coalesce("component", "node").alias("c"))
+        labelled = rest.join(component, "node", "left").select("key", "node", "bits", "bands", F.coalesce("component", "node").alias("c"))
         open_keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         labelled = save(labelled.join(open_keys, "key", "left_semi"), "open")
+        free(members)
         if labelled.isEmpty():
             return component
         largest = labelled.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"))
         largest = largest.select("key", F.col("m.c").alias("main"), F.expr(f"cast(ceil(n / {PART}) as int)").alias("parts"))
         placed = save(labelled.join(largest, "key"), "placed")
-        hubs = placed.where("c <> main").groupBy("key", "parts", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("place")).agg(F.min(F.struct("node", "c", "bits", "bands")).alias("m"))
-        hubs = save(hubs.select("key", "parts", "m.*"), "hubs")
-        dealt = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
-        near = _across(hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), dealt, percent)
-        fresh = save(near, "near")
+        hubs = placed.where("c <> main").groupBy("key", "parts", F.pmod(F.xxhash64("node"), F.lit(hub_rows)).alias("place")).agg(F.min(F.struct("node", "c", "bits", "bands")).alias("m"))
+        hubs = save(hubs.select("key", "parts", F.expr(f"cast(place div {HUBS} as int)").alias("some"), "m.*"), "hubs")
+        blocks = hubs.select("key", "some").distinct()
+        dealt = placed.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).join(blocks, "key")
+        fresh = save(_across(hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), dealt, percent), "near")
         members = save(labelled.select("key", "node", "bits", "bands").join(hubs.select("key", "node"), ["key", "node"], "left_anti"), "members")
+        rest = members
+        free(labelled, placed, hubs)
         if not fresh.isEmpty():
             more = save(_confirmed(fresh, texts, shingle, percent), "links")
             if not more.isEmpty():
-                links = links.unionByName(more)
-                component = components(links)
+                component = joined_components(component, more)
+            free(more)
+        free(fresh)
+        hub_rows *= 2
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs``, unchanged, whose id stays: one document of each group, and all rows without an id.
 
-    Of rows that repeat an id one stays, the one with the least text.
+    Of rows that repeat an id one stays, the one with the least text (null counts as empty), of those with the least hash
+    of all other columns that can be hashed. Other columns may have any names. An empty table gives no rows.
     """
+    kept_col, row_col = unused(docs.columns, "kept", "row")
     found = near_duplicates(docs, id_col, text_col, shingle, percent, bands, rows)
-    kept = found.where("kept").select(F.col(id_col).alias("_kept")).where("_kept is not null").distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    one = named.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("_row")).select("_row.*")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = found.where("kept").select(quoted(id_col).alias(kept_col)).where(F.col(kept_col).isNotNull()).distinct()
+    named = docs.where(quoted(id_col).isNotNull()).join(kept, quoted(id_col) == F.col(kept_col), "left_semi")
+    others = [quoted(c) for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    least = F.struct(F.coalesce(quoted(text_col).cast("string"), F.lit("")), F.xxhash64(*others))
+    one = named.groupBy(quoted(id_col)).agg(F.min_by(F.struct(*map(quoted, docs.columns)), least).alias(row_col))
+    one = one.select(*(F.col(row_col).getField(c).alias(c) for c in docs.columns))
+    return one.unionByName(docs.where(quoted(id_col).isNull()))

@@ -2,7 +2,7 @@
 
 A shard's image is little-endian: magic, counts, then document ids (with null marks), the end of each document in
 symbols, the rules (left and right symbol), the expansion length of each rule, and the symbols. Frequent neighbouring
-pairs are replaced by nonterminals in rounds, a batch of the most frequent pairs in each; pairs never reach over the end
+pairs are replaced by nonterminals, a batch of the most frequent pairs a round, until none is frequent; pairs never reach over the end
 of a document, so any document is decoded alone from its own symbols. Images are rows of a Parquet table in the shared
 folder: Spark's commit protocol makes a lost executor's shard whole again, on any file system that Spark knows.
 """
@@ -19,34 +19,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import arrow_rows, fresh_path, lean, shuffle_partitions, text_parts
+from boxlake.llm.common import arrow_rows, fresh_path, lean, quoted, shuffle_partitions, text_parts
 from boxlake.llm.pieces import KIND, pieces, text_sums, word_level_spans
 
 MAGIC = b"RPG1"
 HEAD = struct.Struct("<4sIIIQQB")
 #: Ids of one shard, about.
 SHARD_IDS = 1 << 20
-ROUNDS, ROUND_PAIRS, LEAST_COUNT = 4, 4000, 12
+ROUND_PAIRS, LEAST_COUNT = 4000, 12
 _BITS = 20
 
 
 # ---------------------------------------------------------------- grammar
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, batch: int = ROUND_PAIRS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair by rounds: symbols, the end of each document in symbols, and the rules as an (n, 2) array.
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, batch: int = ROUND_PAIRS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: symbols, the end of each document in symbols, and the rules as an (n, 2) array.
 
     Symbols below ``base`` are ids, ``base + i`` is rule i. Each round counts all neighbouring pairs exactly and gives
     the (at most ``batch``) most frequent, met ``least`` times or more, a rule; overlapping occurrences are taken from
-    the left. It stops when no pair is that frequent, and after ``rounds`` rounds at the latest: a rule is then at most
-    ``rounds`` deep and stands for at most ``2 ** rounds`` ids. Of pairs that meet in a hash place only the last gets a rule.
+    the left, and of pairs that meet in a hash place the last has its turn, the others have theirs in later rounds. It
+    stops when no pair is that frequent, whatever the depth of the rules. Symbols are widened when 16 bits don't hold them.
     """
-    narrow = base + rounds * batch < 1 << 16
-    kind, shift = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
-    spread = kind(0x9E3779B1) if narrow else kind(0x9E3779B97F4A7C15)
-    down = kind((32 if narrow else 64) - _BITS)
-    s, ends, rules = ids.astype(np.uint16 if narrow else np.uint32), ends.astype(np.int64), []
-    for _ in range(rounds):
+    s, ends, rules, made = ids.astype(np.uint32), ends.astype(np.int64), [], 0
+    while True:
+        narrow = base + made + batch < 1 << 16
+        kind, shift = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
+        spread = kind(0x9E3779B1) if narrow else kind(0x9E3779B97F4A7C15)
+        down = kind((32 if narrow else 64) - _BITS)
+        s = s.astype(np.uint16 if narrow else np.uint32, copy=False)
         if len(s) < 2:
             break
         keys = (s[:-1].astype(kind) << shift) | s[1:]
@@ -73,7 +74,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
         place = place[hit]
         used = np.zeros(len(chosen), bool)
         used[place] = True
-        new = (base + sum(map(len, rules)) + np.cumsum(used) - 1)[place]
+        new = (base + made + np.cumsum(used) - 1)[place]
+        made += int(used.sum())
         used = chosen[used]
         rules.append(np.stack([(used >> shift).astype(np.uint32), (used & kind((1 << int(shift)) - 1)).astype(np.uint32)], 1))
         s[hit] = new
@@ -81,7 +83,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
         keep[hit + 1] = False
         ends = np.concatenate(([0], np.cumsum(keep, dtype=np.int32)))[ends]
         s = s[keep]
-    return s, ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    return s.astype(np.uint16 if base + made <= 1 << 16 else np.uint32), ends, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
 def _gather(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -152,14 +154,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
     """Write the token ids of all texts, each followed by ``end_id``, in ascending id order to shards below ``path``.
 
     Rows: part (range partition), shard (number in it), first (ids of the part before the shard), n_ids, n_docs, image.
-    ``id_col`` must be integral; null ids come first; rows of one id are ordered by text. A null text counts as empty and
-    has just the end id. Extra columns are not read. An empty table gives no shard. A task holds one shard at a time,
+    ``id_col`` must be integral; null ids come first; rows of one id are ordered by text, and dealt over tasks by its
+    beginning. A null text counts as empty and has just the end id. Extra columns are not read. An empty table gives no shard. A task holds one shard at a time,
     or one text, if that is longer.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(shuffle_partitions(spark), "id").sortWithinPartitions("id", "text")
+    rows = docs.select(quoted(id_col).cast("long").alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.repartitionByRange(shuffle_partitions(spark), "id", F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part = pieces(tokenizer_path, True, True), TaskContext.get().partitionId()
@@ -198,7 +200,8 @@ SHARD_SCHEMA = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("first",
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Decode the shards below ``path``: (id, start long, n_tokens long, ids_crc32 long[, ids array<long>]) by document.
 
-    Only one total a part (range partition) reaches the driver, never one a document or shard.
+    Only one total a part (range partition) reaches the driver, never one a document or shard. A task has the images of
+    one split of the table in memory and decodes them one at a time.
     """
     shards = spark.read.schema("part int, shard int, first long, n_ids long, n_docs int, image binary").parquet(path)
     base, total = {}, 0
@@ -218,7 +221,6 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
                     out.append(pa.ListArray.from_arrays(pa.array(np.r_[starts, ends[-1:]].astype(np.int32)), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # an image is megabytes
     out = shards.select("part", "first", "image").mapInArrow(lean(read), "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     return out.withColumnRenamed("id", id_col)
 

@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import FOLDED, arrow_rows, lean, mixed, settle, span_hashes, text_parts, word_spans
+from boxlake.llm.common import FOLDED, arrow_rows, free, lean, mixed, quoted, save, settle, span_hashes, text_parts, word_spans
 
 BITS = 22
-#: Labelled rows that the model is fitted on, about.
-SAMPLE = 16_000
+#: Labelled rows that the model is fitted on, about; a feature counts when so many of them have it.
+SAMPLE, LEAST_TEXTS = 16_000, 5
 _WORD = np.zeros(256, bool)
 _WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _KEPT = _WORD.copy()
@@ -57,9 +57,14 @@ class Model:
     bias: float
     bits: int
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        dense = np.zeros(1 << self.bits, np.float32)
-        dense[self.slots] = self.weights
+    def dense(self) -> np.ndarray:
+        out = np.zeros(1 << self.bits, np.float32)
+        out[self.slots] = self.weights
+        return out
+
+    def score(self, column: pa.Array, dense: np.ndarray | None = None) -> np.ndarray:
+        """Probabilities that the label is 1; ``dense`` is dense(), held for a task's batches."""
+        dense = self.dense() if dense is None else dense
         out = np.zeros(len(column))
         for a, z, buf, offsets in text_parts(column):
             if len(buf):
@@ -70,7 +75,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.bias, -35, 35)))
 
 
-def fit(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.5, passes: int = 6, least: int = 10, seed: int = 5) -> Model:
+def fit(examples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = 3.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.5, passes: int = 6, least: int = LEAST_TEXTS, seed: int = 5) -> Model:
     """FTRL-proximal: a learning rate for each coordinate, weights from the accumulated gradients, zero within L1.
 
     A feature comes in when it has been met in ``least`` examples (features of a few texts only learn those by heart).
@@ -111,17 +116,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     bounded however often an id is repeated. The chosen ids are at most about ``sample``, so they may be broadcast: no
     other texts are shuffled.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
+    known = labels.where(quoted(label_col).isNotNull() & quoted(id_col).isNotNull() & ~held_out(quoted(id_col))).groupBy(quoted(id_col).alias("_id")).agg(F.max(quoted(label_col)).cast("int").alias("y"))
     known = settle(known)
     total = known.count()
     share = min(1.0, sample / max(1, total))
-    chosen = known.where(F.pmod(F.xxhash64(F.col("_id")), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.max("y").alias("y"), F.max("t").alias("t"))
+    chosen = known.where(F.xxhash64(F.col("_id")).bitwiseAND((1 << 40) - 1) < round(share * (1 << 40)))
+    return docs.select(quoted(id_col).alias("_id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.max("y").alias("y"), F.max("t").alias("t"))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bits: int = BITS) -> Model:
-    """Fit on about ``sample`` (the bound of what reaches the driver) labelled rows that are not held out; whole texts."""
-    arrow_rows(docs.sparkSession)
+    """Fit on about ``sample`` (the bound of what reaches the driver) labelled rows that are not held out; whole texts.
+
+    Features are counted on the executors first: what fewer than LEAST_TEXTS texts have goes nowhere.
+    """
+    spark = docs.sparkSession
+    arrow_rows(spark)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,10 +141,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 lists += [slot[p:q].astype(np.int32).tobytes() for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.binary())], names=["_id", "y", "f"])
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(1 << bits, np.int32)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                met[np.frombuffer(x, np.int32)] += 1
+        slots = np.flatnonzero(met)
+        for a in range(0, len(slots), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(slots[a : a + (1 << 16)].astype(np.int32)), pa.array(met[slots[a : a + (1 << 16)]])], names=["slot", "n"])
+
     rows = labelled_sample(docs, labels, label_col, id_col, text_col, sample)
     kind = rows.schema["_id"].dataType.simpleString()
-    got = rows.mapInArrow(lean(hashed), f"_id {kind}, y int, f binary").toArrow().sort_by([("_id", "ascending")])
-    return fit([np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in got["f"]], got["y"].to_numpy().astype(float), bits)
+    found = save(rows.mapInArrow(lean(hashed), f"_id {kind}, y int, f binary"), "features")
+    often = found.select("f").mapInArrow(lean(counted), "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    kept = np.zeros(1 << bits, bool)
+    kept[often.select("slot").toArrow()["slot"].to_numpy()] = True
+    shared = spark.sparkContext.broadcast(np.packbits(kept))
+
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            lists = [np.frombuffer(x, np.int32) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([x[keep[x]].tobytes() for x in lists], pa.binary())], names=["_id", "y", "f"])
+
+    got = found.mapInArrow(lean(pruned), f"_id {kind}, y int, f binary").toArrow().sort_by([("_id", "ascending")])
+    free(found)
+    return fit([np.frombuffer(x.as_py(), np.int32) for x in got["f"]], got["y"].to_numpy().astype(float), bits)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
@@ -151,9 +182,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = shared.value.dense()
         for b in batches:
-            s = shared.value.score(b.column(2))
+            s = shared.value.score(b.column(2), dense)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
-    out = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("t"))
+    out = docs.select(quoted(id_col).alias("id"), held_out(quoted(id_col)).alias("held_out"), quoted(text_col).cast("string").alias("t"))
     return out.mapInArrow(lean(score), f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

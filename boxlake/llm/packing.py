@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import lean, running_offsets, settle
+from boxlake.llm.common import lean, quoted, running_offsets, settle
 from boxlake.llm.token_counts import token_counts
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -99,7 +99,7 @@ def pack(lengths: DataFrame, id_col: str, length_col: str, capacities: Sequence[
     """
     most = max(capacities)
     kind = lengths.schema[id_col].dataType.simpleString()
-    rows = lengths.select(F.col(id_col).alias("id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n"))
+    rows = lengths.select(quoted(id_col).alias("id"), F.coalesce(quoted(length_col).cast("long"), F.lit(0)).alias("n"))
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / most).cast("int") - 1))).alias("piece")
     cut = rows.select("id", "n", piece).select("id", "piece", (F.col("piece").cast("long") * most).alias("start"), F.least(F.lit(most).cast("long"), F.col("n") - F.col("piece").cast("long") * most).alias("n_tokens"))
     cut = settle(cut)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import FOLDED, PLAIN, SPACE, arrow_rows, lean, span_hashes, text_parts, word_spans
+from boxlake.llm.common import FOLDED, PLAIN, SPACE, arrow_rows, lean, quoted, span_hashes, text_parts, word_spans
 from boxlake.llm.toxicity import held_out, labelled_sample
 
 #: Places of the hashed words and forms; dimensions of the vectors; entries of an index vector that are not 0; words on each side.
@@ -110,7 +110,7 @@ def unit_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             some = met[a : a + (1 << 13)]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(np.ascontiguousarray(total[some, i])) for i in range(DIMENSIONS))], names=["unit", *names])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(lean(count), "unit long, " + ", ".join(f"{n} long" for n in names))
+    rows = docs.select(quoted(text_col).cast("string").alias("t")).mapInArrow(lean(count), "unit long, " + ", ".join(f"{n} long" for n in names))
     got = rows.groupBy("unit").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     out = np.zeros((UNITS, DIMENSIONS))
     if got.num_rows:
@@ -240,12 +240,12 @@ def scored(docs: DataFrame, vectors: np.ndarray, net: Network, id_col: str, text
         at = names.index(text_col)
         for b in batches:
             column = b.column(at)
-            yield b.filter(pa.array(shared.value[1].score(pooled(column, shared.value[0])) >= threshold))
+            yield b.filter(pa.array(shared.value[1].score(pooled(column.cast(pa.string()), shared.value[0])) >= threshold))
 
     if keep_rows:
         return docs.mapInArrow(lean(keep), docs.schema)
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("t"))
+    out = docs.select(quoted(id_col).alias("id"), held_out(quoted(id_col)).alias("held_out"), quoted(text_col).cast("string").alias("t"))
     return out.mapInArrow(lean(score), f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
@@ -259,5 +259,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose texts score ``threshold`` or more."""
+    """The rows of ``docs``, unchanged, whose texts score ``threshold`` or more.
+
+    All columns stay, whatever their names. Null and empty texts have the score of a document without words; repeated
+    rows stay or go together; an empty table gives no rows. Without labels all scores are 0.5, so all rows stay.
+    """
     return scored(docs, *train(docs, labels, id_col, text_col, label_col, sample), id_col, text_col, threshold, True)

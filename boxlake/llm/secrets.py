@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import arrow_rows, lean, text_parts
+from boxlake.llm.common import arrow_rows, lean, quoted, text_parts
 
 KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -157,7 +157,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             column = pa.array([[{"kind": k, "start": a, "end": z} for k, a, z in x] for x in spans], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), column], names=["id", "spans"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(lean(find), f"id {kind}, spans {SPANS}").withColumnRenamed("id", id_col)
+    return docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("t")).mapInArrow(lean(find), f"id {kind}, spans {SPANS}").withColumnRenamed("id", id_col)
 
 
 def spans_of(column: pa.Array) -> list[list[tuple[str, int, int]]]:

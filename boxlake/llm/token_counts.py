@@ -7,9 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from boxlake.llm.common import arrow_rows, lean, text_parts
+from boxlake.llm.common import arrow_rows, lean, quoted, text_parts
 from boxlake.llm.pieces import KIND, byte_level_spans, pieces, text_sums
 
 
@@ -42,5 +41,5 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             size = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n), pa.array(n > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(count, KIND), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).mapInArrow(lean(count, KIND), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)

@@ -145,6 +145,13 @@ def lean(rows: Callable[[Iterator], Iterator], kind: str | None = None) -> Calla
     return run
 
 
+def mapped(df: DataFrame, rows: Callable[[Iterator], Iterator], schema: T.StructType) -> DataFrame:
+    """mapInArrow of a whole table whose columns may have any names (Spark's own takes dots for parts of a name)."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    made = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+    return plain.mapInArrow(lean(rows), made).toDF(*schema.names)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

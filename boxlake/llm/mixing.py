@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import arrow_rows, lean, quoted, running_offsets, save, settle, shuffle_partitions, text_parts, unused, word_spans, words
+from boxlake.llm.common import arrow_rows, lean, mapped, quoted, running_offsets, save, settle, shuffle_partitions, text_parts, unused, word_spans, words
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -298,9 +298,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns[at] = pa.array(texts, b.schema.field(at).type)
             if chars is not None:
                 columns[chars] = pa.array(sizes, b.schema.field(chars).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[: len(names)])
 
-    return joined.select(*map(quoted, names), spans_, sized_).mapInArrow(lean(build), schema)
+    return mapped(joined.select(*map(quoted, names), spans_, sized_), build, schema)
 
 
 def taken_text(text: str, spans: Sequence[tuple[int, int, int, int]]) -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import FOLDED, PLAIN, SPACE, arrow_rows, lean, quoted, span_hashes, text_parts, word_spans
+from boxlake.llm.common import FOLDED, PLAIN, SPACE, arrow_rows, lean, mapped, quoted, span_hashes, text_parts, word_spans
 from boxlake.llm.toxicity import held_out, labelled_sample
 
 #: Places of the hashed words and forms; dimensions of the vectors; entries of an index vector that are not 0; words on each side.
@@ -243,7 +243,7 @@ def scored(docs: DataFrame, vectors: np.ndarray, net: Network, id_col: str, text
             yield b.filter(pa.array(shared.value[1].score(pooled(column.cast(pa.string()), shared.value[0])) >= threshold))
 
     if keep_rows:
-        return docs.mapInArrow(lean(keep), docs.schema)
+        return mapped(docs, keep, docs.schema)
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(quoted(id_col).alias("id"), held_out(quoted(id_col)).alias("held_out"), quoted(text_col).cast("string").alias("t"))
     return out.mapInArrow(lean(score), f"id {kind}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)

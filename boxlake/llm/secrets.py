@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import arrow_rows, lean, quoted, text_parts
+from boxlake.llm.common import arrow_rows, lean, mapped, quoted, text_parts
 
 KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -145,8 +145,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Spans of every whole text: (id, spans array of (kind, start, end) in code points, end exclusive, by start and kind).
 
     Kinds: assign, access, hex (the fixed patterns), novel (incompressible strings in a sensitive context, and all
-    their other occurrences in the text, that overlap no other span). One row per input row; a null or empty text has an empty list. Texts of any length are scanned whole.
-    Nothing is shuffled.
+    their other occurrences in the text, that overlap no other span). Candidates of the latter are runs of SHORTEST or more
+    of the characters of keys, without dots: shorter strings and the parts of a dotted token are found by the patterns or
+    not at all. One row per input row, whatever its other columns; a null or empty text has an empty list. Texts of any
+    length are scanned whole. Nothing is shuffled.
     """
     arrow_rows(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -179,7 +181,11 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "<SECRET>
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with all secrets replaced by a mark; ``n_chars``, where present, follows. No row goes."""
+    """The documents with all secrets replaced by a mark; ``n_chars``, where present, follows. No row goes.
+
+    Null and empty texts, repeated rows and rows without an id stay as they are, but for their secrets; other columns may
+    have any names and stay. An empty table gives no rows.
+    """
     arrow_rows(docs.sparkSession)
     names = docs.columns
     at, chars = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
@@ -196,6 +202,6 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 if chars is not None:
                     old = b.column(chars).to_pylist()
                     columns[chars] = pa.array([len(t) if s else n for t, s, n in zip(texts, spans, old, strict=True)], b.schema.field(chars).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
-    return docs.mapInArrow(lean(change), docs.schema)
+    return mapped(docs, change, docs.schema)

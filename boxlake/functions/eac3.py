@@ -1,12 +1,10 @@
 """Enhanced AC-3: frame headers, the substreams of a sample, and their decoder box (ETSI TS 102 366, annexes E and F).
 
-The mixing data on the way to the service type is described by a table of (condition, fields); only lengths matter there.
+The mixing data on the way to the service type is read over field by field, in the standard's order and by its names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,42 +15,52 @@ BLOCKS = (1, 2, 3, 6)
 INDEPENDENT, DEPENDENT = 0, 1
 #: Bytes of a frame that hold its header, whatever its mixing data.
 _HEADER = 256
-#: Bits of the mixing data before the configuration by block: a positive width is there as it is, a negative one behind a flag.
-_LEVELS: tuple[tuple[Callable[[dict], bool], tuple[int, ...]], ...] = (
-    (lambda h: h["mode"] > 2, (2,)),
-    (lambda h: h["mode"] > 2 and h["mode"] % 2 == 1, (6,)),
-    (lambda h: h["mode"] >= 4, (6,)),
-    (lambda h: h["lfe"], (-5,)),
-)
-_PROGRAM: tuple[tuple[Callable[[dict], bool], tuple[int, ...]], ...] = (
-    (lambda h: True, (-6,)),
-    (lambda h: h["mode"] == 0, (-6,)),
-    (lambda h: True, (-6,)),
-)
-
-
-def _pass(b: Bits, *widths: int) -> None:
-    for n in widths:
-        if n > 0 or b.read():
-            b.read(abs(n))
-
-
-def _pass_mixing(b: Bits, h: dict) -> None:
-    for holds, widths in _LEVELS:
-        if holds(h):
-            _pass(b, *widths)
-    if h["kind"] != INDEPENDENT:
+
+
+def _mixing(b: Bits, mode: int, lfe: bool, independent: bool, blocks: int) -> None:
+    """Reads over the mixing data. The fields' widths and their order (table E1.2 of the standard)."""
+    if mode > 2:
+        b.read(2)  # dmixmod
+    if mode > 2 and mode % 2 == 1:  # three channels in front
+        b.read(3)  # ltrtcmixlev
+        b.read(3)  # lorocmixlev
+    if mode >= 4:  # a channel behind
+        b.read(3)  # ltrtsurmixlev
+        b.read(3)  # lorosurmixlev
+    if lfe and b.read():  # lfemixlevcode
+        b.read(5)  # lfemixlevcod
+    if not independent:
         return
-    for holds, widths in _PROGRAM:
-        if holds(h):
-            _pass(b, *widths)
-    option = b.read(2)
-    if option:
-        b.read({1: 5, 2: 12}.get(option) or 8 * (b.read(5) + 2))
-    if h["mode"] < 2:
-        _pass(b, *[-14] * (2 - h["mode"]))
-    if b.read():
-        _pass(b, *([5] if h["blocks"] == 1 else [-5] * h["blocks"]))
+    if b.read():  # pgmscle
+        b.read(6)  # pgmscl
+    if mode == 0 and b.read():  # pgmscl2e
+        b.read(6)  # pgmscl2
+    if b.read():  # extpgmscle
+        b.read(6)  # extpgmscl
+    mixdef = b.read(2)
+    if mixdef == 1:
+        b.read(1)  # premixcmpsel
+        b.read(1)  # drcsrc
+        b.read(3)  # premixcmpscl
+    elif mixdef == 2:
+        b.read(12)  # mixdata
+    elif mixdef == 3:
+        mixdeflen = b.read(5)
+        b.read(8 * (mixdeflen + 2))  # mixdata
+    if mode < 2:  # one channel, or two of their own
+        if b.read():  # paninfoe
+            b.read(8)  # panmean
+            b.read(6)  # paninfo
+        if mode == 0 and b.read():  # paninfo2e
+            b.read(8)  # panmean2
+            b.read(6)  # paninfo2
+    if b.read():  # frmmixcfginfoe
+        if blocks == 1:
+            b.read(5)  # blkmixcfginfo
+        else:
+            for _ in range(blocks):
+                if b.read():  # blkmixcfginfoe
+                    b.read(5)  # blkmixcfginfo
 
 
 def frame(data: bytes) -> dict | None:
@@ -75,11 +83,13 @@ def frame(data: bytes) -> dict | None:
         h["bitrate"] = h["rate"] * h["size"] * 8 // (h["blocks"] * 256)
         h |= {"mode": b.read(3), "lfe": bool(b.read()), "stream": b.read(5)}
         for _ in range(2 if h["mode"] == 0 else 1):
-            _pass(b, 5, -8)
+            b.read(5)  # dialnorm
+            if b.read():  # compre
+                b.read(8)  # compr
         custom = b.read(16) if h["kind"] == DEPENDENT and b.read() else 0
         h["locations"] = custom >> 6 & 0x100 | custom >> 5 & 0xFF
         if b.read():
-            _pass_mixing(b, h)
+            _mixing(b, h["mode"], h["lfe"], h["kind"] == INDEPENDENT, h["blocks"])
         h["service"] = b.read(3) if b.read() else 0
         return h
     except EOFError:

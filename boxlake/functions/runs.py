@@ -42,17 +42,24 @@ def sync_list(df: DataFrame, key: str, order: str, sync: str) -> DataFrame:
 
 def sync_around(df: DataFrame, key: str, order: str, sync: str) -> DataFrame:
     """Adds sync_before (at or before the row, else 0) and sync_next (after it, else 0)."""
-    w = Window.partitionBy(key).orderBy(order)
+    w, back = Window.partitionBy(key).orderBy(order), Window.partitionBy(key).orderBy(F.desc(order))
     own = F.when(F.col(sync), F.col(order))
+    # What follows is looked for backwards: a frame that grows is kept up, one that shrinks would be read anew for each row.
     return df.withColumns({
         "sync_before": F.coalesce(F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0).cast("long")),
-        "sync_next": F.coalesce(F.first(own, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0).cast("long")),
+        "sync_next": F.coalesce(F.last(own, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")),
     })
 
 
-def coalesce_contiguous(df: DataFrame, key: str, order: str, offset: str, size: str) -> DataFrame:
-    """(key, part, first, n, offset, bytes): runs of rows whose bytes follow one another."""
+def coalesce_contiguous(df: DataFrame, key: str, order: str, offset: str, size: str, below: int | None = None) -> DataFrame:
+    """(key, part, first, n, offset, bytes): runs of rows whose bytes follow one another.
+
+    With ``below`` only rows of fewer bytes are joined (the reader's rule for old PCM, whose samples are a few bytes).
+    """
     w = Window.partitionBy(key).orderBy(order)
-    apart = F.when(F.lag(F.col(offset) + F.col(size)).over(w) == F.col(offset), 0).otherwise(1)
+    follows = F.lag(F.col(offset) + F.col(size)).over(w) == F.col(offset)
+    if below is not None:
+        follows = follows & (F.col(size) < below) & (F.lag(size).over(w) < below)
+    apart = F.when(follows, 0).otherwise(1)
     marked = df.withColumn("_a", apart).withColumn("part", F.sum("_a").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "part").agg(F.min(order).alias("first"), F.count("*").alias("n"), F.min(offset).alias("offset"), F.sum(size).alias("bytes"))

@@ -20,8 +20,9 @@ def as_of(probes: DataFrame, marks: DataFrame, at: str, following: bool = False)
     marks at one place that of the highest rank; with ``following`` the first mark past them. Probes without one go."""
     p = probes.select("track", F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*probes.columns).alias("_p"))
     m = marks.where("_at is not null").select("track", "_at", F.lit(0).alias("_kind"), F.struct(*marks.columns).alias("_m"))
-    w = Window.partitionBy("track").orderBy("_at", "_kind", F.col("_m._rank"))
-    near = F.first("_m", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)) if following else F.last("_m", ignorenulls=True).over(w.rowsBetween(COUNT, 0))
+    order = ["_at", "_kind", "_m._rank"]
+    w = Window.partitionBy("track").orderBy(*(map(F.desc, order) if following else order))  # what follows is found backwards
+    near = F.last("_m", ignorenulls=True).over(w.rowsBetween(COUNT, -1 if following else 0))
     found = p.unionByName(m, allowMissingColumns=True).withColumn("_m", near)
     return found.where("_kind = 1 and _m is not null").select("_p.*", "_m")
 
@@ -104,9 +105,29 @@ def edit_map(samples: DataFrame, edits: DataFrame, compat: str | None = None) ->
 
 def segment_of(probes: DataFrame, edits: DataFrame) -> DataFrame:
     """Probes (track, t) to (edit, media time): an empty segment sends a time on to the next one's start."""
-    w = Window.partitionBy("track").orderBy("edit")
-    all_ = segment_starts(edits).withColumns({"_next": F.first(F.when(F.col("media_time") >= 0, F.struct("edit", "seg_start", "media_time")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+    w = Window.partitionBy("track").orderBy(F.desc("edit"))
+    all_ = segment_starts(edits).withColumns({"_next": F.last(F.when(F.col("media_time") >= 0, F.struct("edit", "seg_start", "media_time")), ignorenulls=True).over(w.rowsBetween(COUNT, -1))})
     marks = all_.select("track", F.col("seg_start").alias("_at"), F.col("edit").alias("_rank"), "seg_dur", "media_time", "_next")
     hit = as_of(probes.select("track", "t"), marks, "t").where("t < _m._at + _m.seg_dur").select("track", "t", F.col("_m._rank").alias("edit"), "_m.media_time", F.col("_m._at").alias("seg_start"), "_m._next")
     full = F.col("media_time") >= 0
     return hit.select("track", "t", F.when(full, F.col("edit")).otherwise(F.col("_next.edit")).alias("edit"), F.when(full, F.col("media_time") + F.col("t") - F.col("seg_start")).otherwise(F.col("_next.media_time")).alias("media"))
+
+
+def seek(probes: DataFrame, samples: DataFrame, edits: DataFrame, to_key: bool = True) -> DataFrame:
+    """Probes (track, t of presentation) to (track, t, edit, sample): the sample that is shown at t, or with ``to_key`` the
+    last sync sample at or before it. Samples are (track, sample, cts, dur, sync); a time that no segment or no sample
+    covers gives no row."""
+    media = segment_of(probes, edits).where("media is not null").distinct()
+    shown = nearest_cover(media.select("track", F.col("media").alias("t")), samples).where("sample >= 0").select("track", F.col("t").alias("media"), "sample")
+    found = media.join(shown, ["track", "media"]).select("track", "t", "edit", "sample")
+    if not to_key:
+        return found
+    keys = samples.where("sync").select("track", F.col("sample").alias("_at"), F.lit(0).alias("_rank"))
+    return as_of(found, keys.unionByName(samples.select("track").distinct().select("track", F.lit(0).cast("long").alias("_at"), F.lit(-1).alias("_rank"))), "sample").select("track", "t", "edit", F.col("_m._at").alias("sample"))
+
+
+def successors(samples: DataFrame, edits: DataFrame) -> DataFrame:
+    """(track, edit, sample, next_edit, next_sample): what is shown after each sample, the next one of its segment or else
+    the first of the next segment; null after the last."""
+    w = Window.partitionBy("track").orderBy("edit", "sample")
+    return edit_map(samples, edits).select("track", "edit", "sample", F.lead("edit").over(w).alias("next_edit"), F.lead("sample").over(w).alias("next_sample"))

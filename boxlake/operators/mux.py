@@ -81,8 +81,12 @@ def _chunks(rows: list[list]) -> pa.RecordBatch:
 def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """A number from 0 over all rows in an order, without bringing them to one task."""
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
     placed = dealt.withColumn("_i", F.monotonically_increasing_id()).withColumns({"_p": F.shiftright("_i", 33), "_i": F.col("_i").bitwiseAND((1 << 33) - 1)})
     counts = {r["_p"]: r["count"] for r in placed.groupBy("_p").count().collect()}  # one number a partition
@@ -105,7 +109,8 @@ def merge_order(chunks: DataFrame) -> DataFrame:
 
 def macro_samples(df: DataFrame, has_time: str) -> DataFrame:
     """Rows of one sample split over several buffers, of which the last carries the time: (track, last, n, size, sync)."""
-    after = F.sum(F.col(has_time).cast("long")).over(track().rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back = Window.partitionBy("track").orderBy(F.desc("sample"))
+    after = F.sum(F.col(has_time).cast("long")).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn("_g", after).groupBy("track", "_g").agg(F.max("sample").alias("last"), F.count("*").alias("n"), F.sum("size").alias("size"), F.bool_or("is_sync").alias("sync")).drop("_g")
 
 
@@ -191,38 +196,52 @@ def interleave_chunks(df: DataFrame, bytes_most: int = CHUNK_BYTES, time_most: i
     names = ["session", *_CHUNK, "bound"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, bound, chunks, rates = None, time_most, {}, {}
-        made: list[list[int]] = []
-
-        def rest() -> None:
-            made.extend([current, t, *c, bound] for t, c in sorted(chunks.items()) if c[2])
-
-        def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], pa.int64()) for i in range(len(names))], names=names)
-            made.clear()
-            return out
-
+        current, state = None, Interleaver(bytes_most, time_most)
         for b in batches:
+            made: list[list[int]] = []
             for session, t, _, sample, start, stop, size, frame in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if session != current:
-                    rest()
-                    current, bound, chunks, rates = session, time_most, {}, {}
-                number, first, n, held, a, z = chunks.get(t, (0, sample, 0, 0, start, stop))
-                if not n:
-                    first, a, z = sample, start, stop
-                n, held, a, z = n + 1, held + size, min(a, start), max(z, stop)
-                length = z - a if frame is None else n * frame
-                if held <= bytes_most and length <= bound:
-                    chunks[t] = (number, first, n, held, a, z)
-                    continue
-                made.append([session, t, number, first, n, held, a, z, bound])
-                chunks[t] = (number + 1, 0, 0, 0, 0, 0)
-                rate = held * UNITS // length * 8 if length > 0 else 0
-                if rate > rates.get(t, 0):
-                    rates[t] = rate
-                    bound = min(bound, UNITS * 8 * bytes_most // sum(rates.values()))
-            yield batch()
-        rest()
-        yield batch()
+                    made += ([current, *c] for c in state.rest())
+                    current, state = session, Interleaver(bytes_most, time_most)
+                closed = state.add(t, sample, start, stop, size, frame)
+                if closed:
+                    made.append([session, *closed])
+            yield _records(made, names)
+        yield _records([[current, *c] for c in state.rest()], names)
 
     return rows.mapInArrow(fold, ", ".join(f"{n} long" for n in names))
+
+
+def _records(rows: list[list], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names=names)
+
+
+class Interleaver:
+    """A session's open chunks under a bound on time that falls as bitrates are learnt; one small record a track."""
+
+    def __init__(self, bytes_most: int, time_most: int, bound: int | None = None, chunks: dict | None = None, rates: dict | None = None):
+        self.bytes_most, self.bound = bytes_most, time_most if bound is None else bound
+        self.chunks: dict[int, list[int]] = chunks or {}  # track: number, first, n, bytes, start, end
+        self.rates: dict[int, int] = rates or {}
+
+    def add(self, track: int, sample: int, start: int, stop: int, size: int, frame: int | None) -> list[int] | None:
+        """The chunk (track, number, first, n, bytes, start, end, bound) that the sample closes, if it closes one."""
+        number, first, n, held, a, z = self.chunks.get(track, (0, sample, 0, 0, start, stop))
+        if not n:
+            first, a, z = sample, start, stop
+        n, held, a, z = n + 1, held + size, min(a, start), max(z, stop)
+        length = z - a if frame is None else n * frame
+        if held <= self.bytes_most and length <= self.bound:
+            self.chunks[track] = [number, first, n, held, a, z]
+            return None
+        closed = [track, number, first, n, held, a, z, self.bound]
+        self.chunks[track] = [number + 1, 0, 0, 0, 0, 0]
+        rate = held * UNITS // length * 8 if length > 0 else 0
+        if rate > self.rates.get(track, 0):
+            self.rates[track] = rate
+            self.bound = min(self.bound, UNITS * 8 * self.bytes_most // sum(self.rates.values()))
+        return closed
+
+    def rest(self) -> list[list[int]]:
+        """The chunks that are still open, as they stand."""
+        return [[t, *c, self.bound] for t, c in sorted(self.chunks.items()) if c[2]]

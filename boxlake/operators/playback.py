@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boxlake.operators.mux import track
-
 
 def shed_late(df: DataFrame, rate: float = 1.0, last: int | None = None) -> DataFrame:
     """The rows of (track, sample, cts, dur, sync, late, ...) that a late player still delivers, with all their columns.
@@ -21,9 +19,9 @@ def shed_late(df: DataFrame, rate: float = 1.0, last: int | None = None) -> Data
     ``last`` bounds the key frames that may be jumped to. Rows stream in order through one task a track; (track, sample)
     must be unique.
     """
-    ahead = track().rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy("track").orderBy(F.desc("sample")).rowsBetween(Window.unboundedPreceding, -1)
     key = F.when(F.col("sync"), F.struct("sample", "cts"))
-    rows = df.withColumn("_k", F.first(key, ignorenulls=True).over(ahead))
+    rows = df.withColumn("_k", F.last(key, ignorenulls=True).over(back))  # the next key frame, found backwards
     fields = ["track", "sample", "cts", "dur", "late"]
     rows = rows.select(*df.columns, *(F.col(c).cast("long").alias(f"_{c}") for c in fields), F.col("_k.sample").cast("long").alias("_next"), F.col("_k.cts").cast("long").alias("_there")).sortWithinPartitions("track", "sample")
     width = len(df.columns)

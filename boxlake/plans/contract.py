@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from boxlake.functions import eac3, runs
+from boxlake.functions.bits import AAC_RATES
 from boxlake.functions.time import snapped_frame_duration
-from boxlake.operators import index, mux, playback
+from boxlake.operators import index, mux, playback, session
 
 SCALE = 90_000
 MINUTE = SCALE * 60
@@ -68,6 +69,11 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("stop", F.col("t") + 1)
 
 
+def all_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(track), one row each, straight from the table."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("track")).distinct()
+
+
 def minute_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     deltas = mux.start_deltas(media(spark, sf_dir), SCALE).withColumn("v", F.expr(f"delta div {MINUTE}"))
     return runs.encode_runs(deltas, "track", "sample", "v")
@@ -102,7 +108,7 @@ def rle_expand(spark, sf_dir):
 def cts_prefix_sum(spark, sf_dir):
     stts = tick_runs(spark, sf_dir)
     offsets = F.explode(F.array(F.struct(F.lit(0).alias("run"), F.lit(0).cast("long").alias("v")), F.struct(F.lit(1).alias("run"), F.lit(4500).cast("long").alias("v"))))
-    ctts = stts.select("track").distinct().select("track", offsets.alias("o")).select("track", "o.run", F.lit(5).cast("long").alias("n"), "o.v")
+    ctts = all_tracks(spark, sf_dir).select("track", offsets.alias("o")).select("track", "o.run", F.lit(5).cast("long").alias("n"), "o.v")
     return index.sample_times(stts, SCALE, ctts)
 
 
@@ -123,13 +129,13 @@ def sync_next(spark, sf_dir):
 
 @query("""
 , c AS (SELECT track, sample, size, CASE WHEN sample < 8 THEN sample // 2 ELSE 4 + (sample - 8) // 3 END AS chunk FROM m)
-SELECT track, sample, chunk, CASE WHEN chunk >= 20 THEN 0 ELSE chunk * 1000000 + track + coalesce(sum(size) OVER (PARTITION BY track, chunk ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END::BIGINT AS "offset" FROM c""")
+SELECT track, sample, chunk, (chunk * 1000000 + track + coalesce(sum(size) OVER (PARTITION BY track, chunk ORDER BY sample ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset" FROM c""")
 def sample_offset(spark, sf_dir):
     m = media(spark, sf_dir)
-    tracks = m.select("track").distinct()
+    tracks = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("user_id").alias("track")).agg(F.count("*").alias("n"))
     long = lambda x: F.lit(x).cast("long")
     stsc = tracks.select("track", F.explode(F.array(F.struct(F.lit(0).alias("run"), long(1).alias("first_chunk"), long(2).alias("spc")), F.struct(F.lit(1).alias("run"), long(5).alias("first_chunk"), long(3).alias("spc")))).alias("x")).select("track", "x.*")
-    chunks = tracks.select("track", F.explode(F.sequence(long(0), long(19))).alias("chunk")).withColumn("offset", F.col("chunk") * 1_000_000 + F.col("track"))
+    chunks = tracks.select("track", F.explode(F.sequence(long(0), F.expr("4 + n div 3"))).alias("chunk")).withColumn("offset", F.col("chunk") * 1_000_000 + F.col("track"))
     return index.sample_offsets(m.select("track", "sample", "size"), stsc, chunks)
 
 
@@ -157,38 +163,24 @@ def edit_map(spark, sf_dir):
     times = index.sample_times(tick_runs(spark, sf_dir), SCALE)
     long = lambda x: F.lit(x).cast("long")
     entries = F.array(F.struct(F.lit(0).alias("edit"), long(EDIT).alias("seg_dur"), long(-1).alias("media_time")), F.struct(F.lit(1).alias("edit"), long(10 * EDIT).alias("seg_dur"), long(0).alias("media_time")))
-    edits = times.select("track").distinct().select("track", F.explode(entries).alias("x")).select("track", "x.*")
+    edits = all_tracks(spark, sf_dir).select("track", F.explode(entries).alias("x")).select("track", "x.*")
     return index.edit_map(times, edits)
 
 
 @query("""
-, probe AS (SELECT track, t FROM m WHERE sample % 5 = 0),
+, probe AS (SELECT track, t FROM m),
 bounds AS (SELECT track, run, n, v, base, t0, t0 + ((n * v * 5400000::HUGEINT * 10000000) // 90000)::BIGINT AS t1, run = max(run) OVER (PARTITION BY track) AS last,
   greatest(1, ((v * 5400000::HUGEINT * 10000000) // 90000)::BIGINT) AS step FROM x)
 SELECT p.track, p.t, b.base + (p.t - b.t0) // b.step AS sample FROM probe p JOIN bounds b ON p.track = b.track AND p.t >= b.t0 AND (b.last OR p.t < b.t1)""")
 def time_to_sample(spark, sf_dir):
-    probes = media(spark, sf_dir).where("sample % 5 = 0").select("track", "t")
-    return index.time_to_sample(probes, tick_runs(spark, sf_dir), SCALE)
-
-
-@query()
-def time_to_sample_all(spark, sf_dir):
-    """As time_to_sample, for the time of every sample."""
     return index.time_to_sample(media(spark, sf_dir).select("track", "t"), tick_runs(spark, sf_dir), SCALE)
 
 
 @query("""
-, probe AS (SELECT DISTINCT track, t FROM m WHERE sample % 7 = 0),
+, probe AS (SELECT DISTINCT track, t FROM m),
 hit AS (SELECT p.track, p.t, min(s.sample) AS sample FROM probe p JOIN times s ON p.track = s.track AND s.dts >= 0 AND s.dur > 0 AND (s.dts > p.t OR p.t < s.dts + s.dur) GROUP BY p.track, p.t)
 SELECT p.track, p.t, coalesce(h.sample, -1) AS sample FROM probe p LEFT JOIN hit h USING (track, t)""")
 def nearest_cover(spark, sf_dir):
-    probes = media(spark, sf_dir).where("sample % 7 = 0").select("track", "t")
-    return index.nearest_cover(probes, index.sample_times(tick_runs(spark, sf_dir), SCALE))
-
-
-@query()
-def nearest_cover_all(spark, sf_dir):
-    """As nearest_cover, for the time of every sample."""
     return index.nearest_cover(media(spark, sf_dir).select("track", "t"), index.sample_times(tick_runs(spark, sf_dir), SCALE))
 
 
@@ -289,18 +281,17 @@ def brand_any(spark, sf_dir):
     return mux.any_flag(media(spark, sf_dir), "track", F.col("has_time")).select("track", F.when(F.col("any"), "qt  ").otherwise("mp42").alias("brand"))
 
 
-@query("SELECT DISTINCT track FROM m a WHERE NOT EXISTS (SELECT 1 FROM m k WHERE k.track = a.track AND k.is_sync AND k.sample < 20)")
+@query("SELECT DISTINCT track FROM m a WHERE NOT EXISTS (SELECT 1 FROM m k WHERE k.track = a.track AND k.is_sync)")
 def recovery_needed(spark, sf_dir):
-    m = media(spark, sf_dir)
-    return m.select("track").distinct().join(m.where("is_sync and sample < 20"), "track", "left_anti")
+    return all_tracks(spark, sf_dir).join(media(spark, sf_dir).where("is_sync"), "track", "left_anti")
 
 
-_RATES = "96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350"
+_RATES = ", ".join(map(str, AAC_RATES))
 
 
 @query(f"SELECT track, sample, coalesce(([{_RATES}])[(size % 16)::INT + 1], 0)::BIGINT AS hz FROM m")
 def codec_lookup(spark, sf_dir):
-    table = spark.createDataFrame(list(enumerate(map(int, _RATES.split(",")))), "code long, hz long")
+    table = spark.createDataFrame(list(enumerate(AAC_RATES)), "code long, hz long")
     return media(spark, sf_dir).withColumn("code", F.col("size") % 16).join(F.broadcast(table), "code", "left").select("track", "sample", F.coalesce("hz", F.lit(0).cast("long")).alias("hz"))
 
 
@@ -380,3 +371,144 @@ def pcm_pieces(spark, sf_dir):
 def interleave_chunks(spark, sf_dir):
     rows = media(spark, sf_dir).select((F.col("track") % 8).alias("session"), "track", "sample", F.col("t").alias("arrival"), "t", "stop", "size", F.when(F.col("track") % 2 == 0, F.lit(HOUR)).alias("frame"))
     return mux.interleave_chunks(rows, 100_000, 24 * HOUR)
+
+
+# ---------------------------------------------------------------- sessions: eight of them, a track belongs to the one of its remainder
+
+_TRACKS = """
+, ends AS (
+  SELECT track % 8 AS session, track, count(*) AS n, max(t) + 1 - min(t) AS duration, sum(size)::BIGINT % 1000 AS preroll, sum(size)::BIGINT % 64 AS capabilities,
+    bool_or(is_sync) AS eos, count(*) FILTER (has_time) AS queued, track % 5 <> 0 AS connected, track % 3 = 1 AS video, track % 7 <> 0 AS valid,
+    CASE WHEN track % 4 > 0 THEN max(t) END AS stop
+  FROM m GROUP BY track)
+"""
+
+
+def session_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a track with what a session asks of it."""
+    size = F.sum("size")
+    own = media(spark, sf_dir).groupBy("track").agg(
+        F.count("*").alias("n"), (F.max("stop") - F.min("t")).alias("duration"), (size % 1000).alias("preroll"), (size % 64).alias("capabilities"),
+        F.bool_or("is_sync").alias("eos"), F.count_if("has_time").alias("queued"), F.max("t").alias("_last"),
+    )
+    t = F.col("track")
+    return own.select((t % 8).alias("session"), *own.columns[:-1], (t % 5 != 0).alias("connected"), (t % 3 == 1).alias("video"), (t % 7 != 0).alias("valid"), F.when(t % 4 > 0, F.col("_last")).alias("stop"))
+
+
+@query(_TRACKS + "SELECT session, max(duration) AS duration, max(preroll) AS preroll, bit_or(capabilities) AS capabilities FROM ends GROUP BY session")
+def whole_session(spark, sf_dir):
+    return session.whole_session(session_tracks(spark, sf_dir))
+
+
+@query(_TRACKS + "SELECT session, bool_and(eos AND queued = 0) AS finished FROM ends GROUP BY session")
+def session_finished(spark, sf_dir):
+    return session.finished(session_tracks(spark, sf_dir))
+
+
+@query(_TRACKS + """, v AS (SELECT session, track, row_number() OVER (PARTITION BY session ORDER BY track) - 1 AS pin, count(*) OVER (PARTITION BY session) AS pins FROM ends WHERE valid)
+SELECT session, track, pin, pins FROM v""")
+def pin_list(spark, sf_dir):
+    return session.pins(session_tracks(spark, sf_dir)).select("session", "track", "pin", "pins")
+
+
+@query(_TRACKS + """, v AS (SELECT session, track, row_number() OVER (PARTITION BY session ORDER BY track) - 1 AS pin FROM ends WHERE valid),
+w AS (SELECT track % 8 AS session, sample % 16 AS pin, sample, track AS writer FROM m)
+SELECT session, pin, v.track, sample, writer FROM w JOIN v USING (session, pin)""")
+def pin_lookup(spark, sf_dir):
+    writes = media(spark, sf_dir).select((F.col("track") % 8).alias("session"), (F.col("sample") % 16).alias("pin"), "sample", F.col("track").alias("writer"))
+    return session.by_pin(writes, session.pins(session_tracks(spark, sf_dir))).select("session", "pin", "track", "sample", "writer")
+
+
+@query(_TRACKS + "SELECT session, coalesce(min(track) FILTER (video), min(track)) AS track FROM ends WHERE connected GROUP BY session")
+def seeking_track(spark, sf_dir):
+    return session.seeking_track(session_tracks(spark, sf_dir))
+
+
+@query(_TRACKS + "SELECT session, arg_min(stop, track) FILTER (stop IS NOT NULL) AS stop FROM ends WHERE stop IS NOT NULL GROUP BY session")
+def first_stop(spark, sf_dir):
+    return session.first_answer(session_tracks(spark, sf_dir), "stop")
+
+
+@query(_TRACKS + "SELECT track, 21 & ~capabilities AS lacking FROM ends")
+def capabilities_lacking(spark, sf_dir):
+    return session_tracks(spark, sf_dir).select("track", session.lacking("capabilities", F.lit(21).cast("long")).alias("lacking"))
+
+
+@query(_TRACKS + """, p AS (SELECT track, sample, t, t + 1 AS z, size AS a, size // 2 AS b, sample % 3 AS u, sample % 4 AS w FROM m),
+o AS (SELECT *, CASE u WHEN 1 THEN a WHEN 2 THEN t + a ELSE t END AS start FROM p)
+SELECT track, sample, start, CASE w WHEN 1 THEN b WHEN 2 THEN z + b WHEN 3 THEN b + start ELSE z END AS stop FROM o""")
+def new_positions(spark, sf_dir):
+    start, stop = session.positions("t", "stop", "size", F.col("sample") % 3, F.expr("size div 2"), F.col("sample") % 4)
+    return media(spark, sf_dir).select("track", "sample", start.alias("start"), stop.alias("stop"))
+
+
+@query(_TRACKS + "SELECT session, 0::BIGINT AS earliest, max(duration) AS latest, 0::BIGINT AS preroll, 1.0::DOUBLE AS rate FROM ends GROUP BY session")
+def available_range(spark, sf_dir):
+    return session.available(session.whole_session(session_tracks(spark, sf_dir)).withColumn("rate", F.lit(None).cast("double")))
+
+
+@query("SELECT track, greatest(8192, max(size) + track % 100 + 12)::BIGINT AS bytes FROM m GROUP BY track")
+def buffer_bytes(spark, sf_dir):
+    return runs.encode_sizes(media(spark, sf_dir), "track", "size").select("track", session.buffer_bytes("largest", F.col("track") % 100, True).alias("bytes"))
+
+
+@query("""
+, k AS (SELECT track, CASE WHEN count(delta) > 3 AND sum(delta * 1000) // count(*) > 0 THEN sum(delta * 1000) // count(*) ELSE 10000000 // 30 END::BIGINT AS mean FROM d WHERE sample % 16 < track % 8 GROUP BY track)
+SELECT track, mean FROM k""")
+def mean_duration(spark, sf_dir):
+    rows = mux.start_deltas(media(spark, sf_dir), SCALE).where("sample % 16 < track % 8").withColumn("dur", F.col("delta") * 1000)
+    return session.mean_duration(rows, 30)
+
+
+@query("SELECT track, max((n + 1) * 4)::BIGINT AS largest FROM r GROUP BY track")
+def fixed_chunk_bytes(spark, sf_dir):
+    stsc = minute_runs(spark, sf_dir).select("track", "run", (F.col("n") + 1).alias("spc"))
+    return session.fixed_chunk_bytes(stsc, all_tracks(spark, sf_dir).withColumn("fixed", F.lit(4).cast("long")))
+
+
+@query("SELECT track, arg_min(size % 7, sample) AS codec FROM m GROUP BY track")
+def offered_codec(spark, sf_dir):
+    return session.offered_codec(media(spark, sf_dir).select("track", F.col("sample").alias("alternative"), (F.col("size") % 7).alias("codec")))
+
+
+@query("SELECT track, arg_min(t, sample) AS t FROM m GROUP BY track")
+def first_time(spark, sf_dir):
+    return session.first_time(media(spark, sf_dir))
+
+
+@query("""
+, shown AS (SELECT track, sample, 864000000000 + dts AS t FROM times WHERE dts + dur > 0 AND dts < 8640000000000)
+SELECT track, 1 AS edit, sample, CASE WHEN lead(sample) OVER w IS NULL THEN NULL ELSE 1 END::INT AS next_edit, lead(sample) OVER w AS next_sample FROM shown WINDOW w AS (PARTITION BY track ORDER BY sample)""")
+def successors(spark, sf_dir):
+    long = lambda x: F.lit(x).cast("long")
+    entries = F.array(F.struct(F.lit(0).alias("edit"), long(EDIT).alias("seg_dur"), long(-1).alias("media_time")), F.struct(F.lit(1).alias("edit"), long(10 * EDIT).alias("seg_dur"), long(0).alias("media_time")))
+    edits = all_tracks(spark, sf_dir).select("track", F.explode(entries).alias("x")).select("track", "x.*")
+    return index.successors(index.sample_times(tick_runs(spark, sf_dir), SCALE), edits)
+
+
+@query("""
+, o AS (SELECT track, sample, t, greatest(1, coalesce(lead(t) OVER (PARTITION BY track ORDER BY sample) - t, 400000)) AS dur, is_sync FROM m),
+p AS (SELECT DISTINCT track, t + 5000000 AS t FROM m WHERE t + 5000000 < 8640000000000),
+hit AS (SELECT p.track, p.t, min(o.sample) AS sample FROM p JOIN o ON o.track = p.track AND (o.t > p.t OR p.t < o.t + o.dur) GROUP BY ALL)
+SELECT track, t + 864000000000 AS t, 1 AS edit, coalesce((SELECT max(k.sample) FROM o k WHERE k.track = hit.track AND k.is_sync AND k.sample <= hit.sample), 0) AS sample FROM hit""")
+def seek_to_key(spark, sf_dir):
+    m = media(spark, sf_dir)
+    samples = m.select("track", "sample", F.col("t").alias("cts"), F.greatest(F.lit(1), F.coalesce(F.lead("t").over(mux.track()) - F.col("t"), F.lit(400_000))).cast("long").alias("dur"), F.col("is_sync").alias("sync"))
+    long = lambda x: F.lit(x).cast("long")
+    entries = F.array(F.struct(F.lit(0).alias("edit"), long(EDIT).alias("seg_dur"), long(-1).alias("media_time")), F.struct(F.lit(1).alias("edit"), long(10 * EDIT).alias("seg_dur"), long(0).alias("media_time")))
+    edits = all_tracks(spark, sf_dir).select("track", F.explode(entries).alias("x")).select("track", "x.*")
+    return index.seek(m.select("track", (F.col("t") + 5_000_000 + EDIT).alias("t")), samples, edits)
+
+
+@query("SELECT track, sample, t AS start, t + 1 AS stop, 16 + CASE WHEN is_sync THEN 1 ELSE 0 END::BIGINT AS flags FROM m")
+def time_flags(spark, sf_dir):
+    m = media(spark, sf_dir)
+    return session.time_flags(m.select("track", "sample", F.col("t").alias("cts"), F.lit(1).alias("dur"), F.col("is_sync").alias("sync")))
+
+
+@query("""
+, c AS (SELECT track % 8 AS session, track, min(t_start) AS s, max(t_end) AS e FROM hc GROUP BY track)
+SELECT session, min(e) AS running, max(e) - min(s) AS stopped FROM c GROUP BY session""")
+def session_position(spark, sf_dir):
+    chunks = hour_chunks(spark, sf_dir).withColumn("session", F.col("track") % 8)
+    return session.final_position(chunks, False).withColumnRenamed("position", "running").join(session.final_position(chunks, True).withColumnRenamed("position", "stopped"), "session")

@@ -1,7 +1,9 @@
 """ISO base media files as tables.
 
-Files are read by Spark's ``binaryFile`` source, so any store that Spark reads will do; a task decodes one file's header
-boxes at a time and media payloads stay out of the tables.
+Files are listed by Spark's ``binaryFile`` source, by path and length (``listed``), and read by ranges: the heads of
+boxes, and of the movie box all. A file of any size costs what its header costs. ``files`` has whole contents beside the
+paths, for small files and for stores that only Spark opens; every operator here takes both forms. Media payloads stay
+out of the tables.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,35 @@ from pyspark.sql import functions as F
 CONTAINERS = frozenset({b"moov", b"trak", b"edts", b"mdia", b"minf", b"dinf", b"stbl", b"udta", b"ilst", b"\xa9cmt", b"cctk"})
 
 
+class Ranged:
+    """The bytes of a file as slices that are read when they are asked for. What hold() has read is not read again."""
+
+    def __init__(self, path: str, length: int):
+        from pyarrow import fs
+
+        local = urlparse(path).scheme in ("", "file")
+        system, name = (fs.LocalFileSystem(), unquote(urlparse(path).path) if path.startswith("file:") else path) if local else fs.FileSystem.from_uri(path)
+        self.file, self.length, self.held, self.at = system.open_input_file(name), length, b"", 0
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, part: slice) -> bytes:
+        a, z, _ = part.indices(self.length)
+        if self.at <= a and z <= self.at + len(self.held):
+            return self.held[a - self.at : z - self.at]
+        return self.file.read_at(max(0, z - a), a)
+
+    def hold(self, at: int, n: int) -> None:
+        self.held, self.at = self[at : at + n], at
+
+    def close(self) -> None:
+        self.file.close()
+
+
+Data = bytes | Ranged
+
+
 @dataclass
 class Box:
     id: int
@@ -29,7 +61,7 @@ class Box:
     header: int
     children: list[Box] = field(default_factory=list)
 
-    def payload(self, data: bytes) -> bytes:
+    def payload(self, data: Data) -> bytes:
         return data[self.offset + self.header : self.offset + self.length]
 
     def find(self, *path: bytes) -> Box | None:
@@ -41,7 +73,7 @@ class Box:
         return self
 
 
-def walk(data: bytes) -> Box:
+def walk(data: Data) -> Box:
     """The tree of boxes; a length beyond the parent ends the scan of that parent, length 0 reaches its end."""
     root = Box(0, -1, 0, 0, b"", 0, len(data), 0)
     count = 0
@@ -50,10 +82,11 @@ def walk(data: bytes) -> Box:
         nonlocal count
         ordinal = 0
         while at + 8 <= end:
-            size, kind = struct.unpack_from(">I4s", data, at)
+            head = data[at : at + 16]
+            size, kind = struct.unpack_from(">I4s", head)
             header = 8
             if size == 1 and at + 16 <= end:
-                size, header = struct.unpack_from(">q", data, at + 8)[0], 16
+                size, header = struct.unpack_from(">q", head, 8)[0], 16
             elif size == 0:
                 size = end - at
             header += 16 * (kind == b"uuid")
@@ -63,6 +96,8 @@ def walk(data: bytes) -> Box:
             box = Box(count, parent.id, parent.depth + 1, ordinal, kind, at, size, header)
             parent.children.append(box)
             if kind in CONTAINERS or kind == b"meta":
+                if kind == b"moov" and isinstance(data, Ranged):
+                    data.hold(at, size)
                 scan(box, at + header + 4 * (kind == b"meta"), at + size)
             at, ordinal = at + size, ordinal + 1
 
@@ -88,7 +123,7 @@ def _numbers(data: bytes, code: str, at: int = 8, count: int | None = None) -> l
     return list(struct.unpack_from(f">{n}{code}", data, at))
 
 
-def movie(data: bytes, compat_edits: bool = False) -> dict | None:
+def movie(data: Data, compat_edits: bool = False) -> dict | None:
     """Header, metadata and tracks with their run tables, or None without a movie."""
     root = walk(data)
     moov = root.find(b"moov")
@@ -122,7 +157,7 @@ def attributes(data: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def track(box: Box, data: bytes, number: int, movie_scale: int, compat_edits: bool) -> dict:
+def track(box: Box, data: Data, number: int, movie_scale: int, compat_edits: bool) -> dict:
     """One track; ``valid`` if it is enabled, has its tables, one sample description and at least one sample."""
     out = {"track": number, "enabled": False, "valid": False, "timescale": None, "handler": None, "codec": None, "all_sync": True, "fixed_size": 0, "sample_count": 0, "stts": [], "ctts": [], "stsc": [], "chunk_offsets": [], "sizes": [], "sync": [], "edits": [], "entry": None}
     head = box.find(b"tkhd")
@@ -168,27 +203,44 @@ TRACKS = f"path string, track int, enabled boolean, valid boolean, timescale lon
 MOVIES = "path string, timescale long, duration long, comment string, attributes array<struct<name:string,value:string>>, tracks int, invalid_tracks int"
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of files: nothing of them is read yet."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content): whole files as values, so of less than 2 GB."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def opened(df: DataFrame) -> tuple[DataFrame, str]:
+    """The columns that a task opens files by: (path, content) or (path, length)."""
+    by = "content" if "content" in df.columns else "length"
+    return df.select("path", by), by
+
+
 def _map(df: DataFrame, rows, schema: str) -> DataFrame:
     names = [f.split()[0] for f in schema.split(", ")]
+    df, by = opened(df)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([r for p, c in zip(b["path"], b["content"], strict=True) for r in rows(p, bytes(c))], columns=names)
+            for path, x in zip(b["path"], b[by], strict=True):  # one file at a time
+                data = bytes(x) if by == "content" else Ranged(path, x)
+                yield pd.DataFrame(list(rows(path, data)), columns=names)
+                if by == "length":
+                    data.close()
 
     return df.mapInPandas(run, schema)
 
 
 def boxes(df: DataFrame) -> DataFrame:
-    """All boxes of files (path, content)."""
+    """All boxes of files (path, content) or (path, length)."""
     return _map(df, lambda p, c: [(p, b.id, b.parent, b.depth, b.ordinal, b.kind, b.kind.decode("latin-1"), b.offset, b.length, b.header) for b in flat(walk(c))], BOXES)
 
 
 def tracks(df: DataFrame) -> DataFrame:
-    def rows(path: str, content: bytes) -> list[tuple]:
+    def rows(path: str, content: Data) -> list[tuple]:
         def named(x: list, a: str, b: str) -> list[dict]:
             return [{a: int(p), b: int(q)} for p, q in x]
 
@@ -199,7 +251,7 @@ def tracks(df: DataFrame) -> DataFrame:
 
 
 def movies(df: DataFrame) -> DataFrame:
-    def rows(path: str, content: bytes) -> list[tuple]:
+    def rows(path: str, content: Data) -> list[tuple]:
         m = movie(content)
         return [(path, m["timescale"], m["duration"], m["comment"], [{"name": a, "value": b} for a, b in m["attributes"]], len(m["tracks"]), sum(not t["valid"] for t in m["tracks"]))] if m else []
 
@@ -213,9 +265,9 @@ def exploded(t: DataFrame, column: str, position: str, *fields: str) -> DataFram
 
 
 def recovery_needed(df: DataFrame) -> DataFrame:
-    """(path, needed) of files (path, content): no movie, an open media box, or boxes that don't fit."""
+    """(path, needed) of files (path, content) or (path, length): no movie, an open media box, or boxes that don't fit."""
 
-    def rows(path: str, content: bytes) -> list[tuple]:
+    def rows(path: str, content: Data) -> list[tuple]:
         top = walk(content).children
         whole = bool(top) and top[-1].offset + top[-1].length == len(content)
         return [(path, not whole or all(b.kind != b"moov" for b in top) or any(b.kind == b"mdat" and b.length == 8 for b in top))]

@@ -165,7 +165,7 @@ def test_metadata_and_broken_files(spark):
 
 
 def test_recovery_log(spark):
-    log = recovery.header() + recovery.PIN + b"\0\0junk" + recovery.sample_record(1, 4, 1, 3, 10, 5) + recovery.sample_record(0, 90, 0, 3, 20, 5) + recovery.SAMPLE
+    log = recovery.header() + recovery.pin_record(0, bytes(16), b"H264" + bytes(12), format=b"SAMP IPIN junk") + recovery.sample_record(1, 4, 1, 3, 10, 5) + recovery.sample_record(0, 90, 0, 3, 20, 5) + recovery.SAMPLE
     logs = spark.createDataFrame([("f-Index.tmp", log)], "path string, content binary")
     media = spark.createDataFrame([("f", b"0123abc")], "path string, content binary")
     got = recovery.read_log(logs)

@@ -27,7 +27,7 @@ from boxlake.llm.common import arrow_rows, lean, quoted, settle
 
 ORDERINGS, PROJECTED, GRID_BITS = 24, 8, 7
 #: Candidates of a key range and queries of one task's block, about; ranges at most (larger ones are dealt in parts).
-RANGE_ROWS, QUERY_ROWS, MOST_RANGES = 2048, 8192, 8192
+RANGE_ROWS, QUERY_ROWS, MOST_RANGES = 8192, 8192, 8192
 #: Vectors that the ranges are fitted on and bytes that they have, at most.
 SAMPLE, SAMPLE_BYTES = 1 << 16, 1 << 26
 #: Queries that are searched by brute force, and the share of their neighbours that has to be found.

@@ -21,33 +21,34 @@ PERCENT, BANDS, ROWS = 80, 54, 7
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; see keep_good() for nulls, repeated rows, empty tables, other columns."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, and all rows without an id; see first_of_each()."""
     return first_of_each(docs, percent=PERCENT, bands=BANDS, rows=ROWS)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark; no row goes. See redact()."""
     return redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts hold the words that the mix takes of them."""
+    """Texts hold the words that the mix takes of them; documents without words stay. See mixed_documents()."""
     return mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of the permitted sequence lengths."""
+    """Bins of the permitted sequence lengths; documents without tokens have one row and no bin. See pack()."""
     return pack_documents(docs, tokenizer("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", good_documents), ("near-duplicates", distinct_documents), ("secrets", clean_documents), ("mix", mixed), ("packing", packed)]
 
-#: SQL can express neither the classifier nor the draws and the packing; tests hold the stages against brute force.
+#: SQL can express neither the classifier nor the draws and the packing; tests/llm holds what the stages call against brute
+#: force: kept ids, one row of each group, redacted spans, words of the mix, tokens of the bins.
 ORACLE_SQL = None
 
 

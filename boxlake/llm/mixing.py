@@ -246,9 +246,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def takes(m: Mix) -> DataFrame:
-    """Segments that the mix takes: columns of ``segments``, ``whole`` (times all of it is taken) and ``part`` (words of one more, cut, take)."""
+    """Segments that the mix takes: columns of ``segments``, ``whole`` (times all of it is taken) and ``part`` (words of one more, cut, take).
+
+    Both sides grow with the corpus: they are merged, never broadcast, however small they look once compressed.
+    """
     by_block = m.slots.groupBy("src", "block").agg(F.count_if("whole").alias("whole"), F.max(F.when(~F.col("whole"), F.col("words"))).alias("cut"))
-    return m.segments.join(by_block, ["src", "block"]).withColumn("part", F.least(F.col("n"), F.greatest(F.lit(0), F.coalesce("cut", F.lit(0)) - F.col("skip"))).cast("long")).drop("cut")
+    return m.segments.join(by_block.hint("merge"), ["src", "block"]).withColumn("part", F.least(F.col("n"), F.greatest(F.lit(0), F.coalesce("cut", F.lit(0)) - F.col("skip"))).cast("long")).drop("cut")
 
 
 def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
@@ -262,7 +265,7 @@ def mixed_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     m = mix(docs, id_col, text_col, source_col, seed)
     got = takes(m).select("src", "offset", (F.col("whole") * F.col("n") + F.col("part")).alias("taken")).groupBy("src", "offset").agg(F.sum("taken").alias("taken"))
     rows = m.docs.withColumn("key", F.when(F.col("size") > 0, F.col("offset")))
-    out = rows.join(got.withColumnRenamed("offset", "key"), ["src", "key"], "left").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = rows.join(got.withColumnRenamed("offset", "key").hint("merge"), ["src", "key"], "left").select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out
 
 

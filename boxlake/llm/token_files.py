@@ -40,8 +40,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, batch: int = ROUND_PA
     the (at most ``batch``) most frequent, met ``least`` times or more, a rule; overlapping occurrences are taken from
     the left, and of pairs that meet in a hash place the last has its turn, the others have theirs in later rounds. It
     stops when no pair is that frequent, whatever the depth of the rules. Symbols are widened when 16 bits don't hold them.
+
+    A replacement makes no new pair of old symbols, so from the second round on only pairs with a symbol of the last round
+    and those that waited for their turn are counted: the counts are still exact.
     """
     s, ends, rules, made = ids.astype(np.uint32), ends.astype(np.int64), [], 0
+    fresh, waiting = 0, np.zeros((0, 2), np.uint32)
     while True:
         narrow = base + made + batch < 1 << 16
         kind, shift = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
@@ -53,28 +57,40 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, batch: int = ROUND_PA
         keys = (s[:-1].astype(kind) << shift) | s[1:]
         none = np.iinfo(kind).max  # of two symbols that don't exist
         keys[ends[(ends > 0) & (ends < len(s))] - 1] = none
+        at = None  # all
+        if made:
+            wait = np.zeros(1 << _BITS, bool)
+            wait[(((waiting[:, 0].astype(kind) << shift) | waiting[:, 1]) * spread) >> down] = True
+            young = s >= base + fresh
+            at = np.flatnonzero(young[:-1] | young[1:] | wait[(keys * spread) >> down])
+            keys = keys[at]
+            if not len(keys):
+                break
         ordered = np.sort(keys)
-        at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(at, append=len(ordered))
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        counts = np.diff(first, append=len(ordered))
         counts[-1] = 0 if ordered[-1] == none else counts[-1]
         often = np.flatnonzero(counts >= least)
         if not len(often):
             break
-        often = often[np.lexsort((ordered[at[often]], -counts[often]))][:batch]
-        chosen = ordered[at[often]]
+        often = ordered[first[often[np.lexsort((ordered[first[often]], -counts[often]))]]]
+        chosen = often[:batch]
         number = np.full(1 << _BITS, -1, np.int16)
         number[(chosen * spread) >> down] = np.arange(len(chosen))  # of pairs that meet in a place, the last has it
+        waiting = np.concatenate((chosen[number[(chosen * spread) >> down] != np.arange(len(chosen))], often[batch:]))
+        waiting = np.stack([waiting >> shift, waiting & kind((1 << int(shift)) - 1)], 1).astype(np.uint32)
         place = number[(keys * spread) >> down]
-        hit = np.flatnonzero(chosen[place] == keys)
+        met = np.flatnonzero(chosen[place] == keys)
+        place, hit = place[met], met if at is None else at[met]
         alone = np.ones(len(hit), bool)
         alone[1:] = hit[1:] != hit[:-1] + 1
         begin = np.flatnonzero(alone)
         odd = (hit - np.repeat(hit[begin], np.diff(begin, append=len(hit)))) & 1
-        hit = hit[odd == 0]
-        place = place[hit]
+        hit, place = hit[odd == 0], place[odd == 0]
         used = np.zeros(len(chosen), bool)
         used[place] = True
         new = (base + made + np.cumsum(used) - 1)[place]
+        fresh = made
         made += int(used.sum())
         used = chosen[used]
         rules.append(np.stack([(used >> shift).astype(np.uint32), (used & kind((1 << int(shift)) - 1)).astype(np.uint32)], 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -282,12 +283,10 @@ def elementary_stream(data: bytes) -> dict | None:
     return {"object_type": config[1][0], "mpeg_audio": config[1][0] in (0x6B, 0x69), "specific": inner[1] if inner and inner[0] == 5 else b""}
 
 
-def swapped(data: bytes) -> bytes:
-    """16-bit samples with their bytes exchanged; an odd last byte stays."""
-    out = bytearray(data)
-    even = len(data) // 2 * 2
-    out[0:even:2], out[1:even:2] = data[1:even:2], data[0:even:2]
-    return bytes(out)
+def swapped(data: bytes, width: int = 2) -> bytes:
+    """Values of 2, 4 or 8 bytes in the other byte order; what is left over at the end stays."""
+    whole = len(data) // width * width
+    return np.frombuffer(data, f"<u{width}", whole // width).byteswap().tobytes() + data[whole:]
 
 
 def column(f: Callable, kind: str) -> Callable[[Column | str], Column]:

@@ -114,12 +114,14 @@ def macro_samples(df: DataFrame, has_time: str) -> DataFrame:
     return df.withColumn("_g", after).groupBy("track", "_g").agg(F.max("sample").alias("last"), F.count("*").alias("n"), F.sum("size").alias("size"), F.bool_or("is_sync").alias("sync")).drop("_g")
 
 
-def discard_range(df: DataFrame, start: int, stop: int, monotone: bool = True) -> DataFrame:
-    """Rows from the first that ends after ``start`` up to the first that begins at ``stop`` or later."""
+def discard_range(df: DataFrame, start: int | None, stop: int | None, monotone: bool = True) -> DataFrame:
+    """Rows from the first that ends after ``start`` up to the first that begins at ``stop`` or later; None cancels a bound."""
+    begins = F.lit(True) if start is None else F.col("stop") > start
+    ends = F.lit(False) if stop is None else F.col("t") >= stop
     if monotone:
-        return df.where((F.col("stop") > start) & (F.col("t") < stop))
+        return df.where(begins & ~ends)
     w = track().rowsBetween(Window.unboundedPreceding, 0)
-    begun, ended = F.bool_or(F.col("stop") > start).over(w), F.bool_or(F.col("t") >= stop).over(w)
+    begun, ended = F.bool_or(begins).over(w), F.bool_or(ends).over(w)
     return df.withColumns({"_b": begun, "_e": ended}).where("_b and not _e").drop("_b", "_e")
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxlake.functions.bits import start_code_column
 from boxlake.sources.boxes import Data, Ranged, _map
 
 #: Signatures and layouts of the records, little-endian and packed; a pin's type is a structure of the
@@ -127,11 +128,12 @@ def _cut(rows: pa.Table, data: Data) -> pa.Table:
     return kept.append_column("data", pa.array([data[a : a + n] for a, n, ok in zip(at, size, good, strict=True) if ok], pa.binary()))
 
 
-def recovered(found: DataFrame, codecs: DataFrame | None = None) -> DataFrame:
+def recovered(found: DataFrame, codecs: DataFrame | None = None, start_codes: bool = False) -> DataFrame:
     """Payload rows as samples for the writer: (session, track, seq, start, stop, sync, preroll, discontinuity, codec, data).
 
     A time holds if its flag is set: a sample without start has none and is left out by the writer, one without stop ends
-    at the next. ``codecs`` are (track, codec); tracks without one are raw.
+    at the next. ``codecs`` are (track, codec); tracks without one are raw. With ``start_codes`` payloads of AVC tracks, which
+    lie in the file behind their lengths, come as the stream that the writer once took.
     """
     bit = lambda n: F.col("flags").bitwiseAND(n) != 0
     rows = found.select(
@@ -140,6 +142,8 @@ def recovered(found: DataFrame, codecs: DataFrame | None = None) -> DataFrame:
         bit(SYNC).alias("sync"), bit(PREROLL).alias("preroll"), bit(DISCONTINUITY).alias("discontinuity"), "data",
     )
     named = rows.withColumn("codec", F.lit("raw ")) if codecs is None else rows.join(F.broadcast(codecs), "track", "left").withColumn("codec", F.coalesce("codec", F.lit("raw ")))
+    if start_codes:
+        named = named.withColumn("data", F.when(F.col("codec") == "avc1", start_code_column("data")).otherwise(F.col("data")))
     return named.select("session", "track", "seq", "start", "stop", "sync", "preroll", "discontinuity", "codec", "data")
 
 

@@ -54,6 +54,7 @@ class Track:
     rate: int = 48000
     channels: int = 2
     specific: bytes = b""
+    described: bytes = b""  # a finished sample description, which goes before all others
     starts: list[int] = field(default_factory=list)
     stops: list[int] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
@@ -75,6 +76,8 @@ class Track:
 
     def entry(self) -> bytes:
         """The sample description."""
+        if self.described:
+            return self.described
         head = bytes(6) + struct.pack(">H", 1)
         if self.handler == "vide":
             return box(self.codec, head, bytes(16), struct.pack(">HHIIIH", self.width, self.height, 72 << 16, 72 << 16, 0, 1), bytes(32), struct.pack(">Hh", 24, -1), box(b"avcC", self.specific) if self.codec == b"avc1" else b"")
@@ -144,6 +147,14 @@ def object_list(numbers: Sequence[int]) -> bytes:
 
 def movie_header(tracks: Sequence[tuple[int, str, bytes]], length: int, comment: str | None = None, attributes: Sequence[tuple[str, str]] = ()) -> bytes:
     """The movie box of finished track boxes (number, handler, box) and a length in ticks."""
+    data = user_data(comment, attributes)
+    head = full(b"mvhd", struct.pack(">QQIQIHH", 0, 0, SCALE, length, 1 << 16, 256, 0), bytes(8), _MATRIX, bytes(24), struct.pack(">I", len(tracks) + 1), version=1)
+    objects = object_list([n for n, handler, _ in tracks if handler in ("vide", "soun")])
+    return box(b"moov", head, objects, *(t for _, _, t in tracks), box(b"udta", *data) if data else b"")
+
+
+def user_data(comment: str | None, attributes: Sequence[tuple[str, str]]) -> list[bytes]:
+    """The boxes of a comment and of named strings."""
     data = []
     if comment is not None:
         data.append(full(b"meta", box(b"ilst", box(b"\xa9cmt", box(b"data", struct.pack(">II", 1, 0), comment.encode())))))
@@ -153,9 +164,7 @@ def movie_header(tracks: Sequence[tuple[int, str, bytes]], length: int, comment:
             n, v = name.encode("latin-1"), (value + "\0").encode("utf-16-le")
             records.append(struct.pack(">II", 18 + len(n) + len(v), len(n)) + n + struct.pack(">IIH", 1, 6 + len(v), 8) + v)
         data.append(box(b"Xtra", *records))
-    head = full(b"mvhd", struct.pack(">QQIQIHH", 0, 0, SCALE, length, 1 << 16, 256, 0), bytes(8), _MATRIX, bytes(24), struct.pack(">I", len(tracks) + 1), version=1)
-    objects = object_list([n for n, handler, _ in tracks if handler in ("vide", "soun")])
-    return box(b"moov", head, objects, *(t for _, _, t in tracks), box(b"udta", *data) if data else b"")
+    return data
 
 
 #: Codes whose files have the brand of the standard, and codes of sound.
@@ -226,12 +235,13 @@ def placed(chunks: DataFrame, media_bytes: int = MEDIA_BYTES) -> DataFrame:
     return rows.mapInArrow(place, "session string, part long, track int, chunk long, offset long, head binary")
 
 
-def encode_parts(samples: DataFrame, chunk_bytes: int = 400 << 10, chunk_time: int = UNITS, media_bytes: int = MEDIA_BYTES, comment: str | None = None, attributes: Sequence[tuple[str, str]] = (), align: bool = True, minimal_duration: int = 0) -> DataFrame:
+def encode_parts(samples: DataFrame, chunk_bytes: int = 400 << 10, chunk_time: int = UNITS, media_bytes: int = MEDIA_BYTES, comment: str | None = None, attributes: Sequence[tuple[str, str]] = (), align: bool = True, minimal_duration: int = 0, entries: DataFrame | None = None) -> DataFrame:
     """(session, part long, content binary): the parts of a file of each session, which in order of ``part`` are the file.
 
     Samples are (session string, track int, seq long, start, stop, sync, codec string, data binary), (session, track, seq)
     unique. A missing stop is a start and 1, a missing payload is empty, a missing sync is none; rows without session,
     track, seq or start have no place and are left out. Chunks are written earliest head first, a track's in order.
+    ``entries`` are sample descriptions (see entries.py), one a track at most; tracks without one are described by their code.
     """
     whole = samples.dropna(subset=["session", "track", "seq", "start"])
     rows = whole.select("session", F.col("track").cast("int"), F.col("seq").cast("long"), F.col("start").cast("long"), F.coalesce("stop", F.col("start") + 1).cast("long").alias("stop"), F.coalesce("sync", F.lit(False)).alias("sync"), "codec", F.coalesce("data", F.unhex(F.lit(""))).alias("data"))
@@ -249,6 +259,8 @@ def encode_parts(samples: DataFrame, chunk_bytes: int = 400 << 10, chunk_time: i
         t = samples_.sort_by("seq")
         head = {n: t[n][0].as_py() for n in ("session", "codec", "number", "base", "end")}
         made = Track("soun" if head["codec"] in SOUND else "vide", head["codec"].encode("latin-1"))
+        if "entry" in chunks.column_names and (own := [r for r in chunks.select(["media", "width", "height", "entry"]).slice(0, 1).to_pylist() if r["entry"]]):
+            made.handler, made.width, made.height, made.described = own[0]["media"], own[0]["width"], own[0]["height"], own[0]["entry"]
         made.starts, made.stops, made.sizes, made.sync = (t[n].to_pylist() for n in ("start", "stop", "size", "sync"))
         counts = t.group_by("chunk").aggregate([("seq", "count")])
         counts = dict(zip(counts["chunk"].to_pylist(), counts["seq_count"].to_pylist(), strict=True))
@@ -263,7 +275,8 @@ def encode_parts(samples: DataFrame, chunk_bytes: int = 400 << 10, chunk_time: i
         return pa.table({"session": table["session"][:1], "part": pa.array([_LAST], pa.int64()), "content": pa.array([movie_header(made, length, comment, attributes)], pa.binary())})
 
     chunks = places.where("head is null").select("session", "track", "chunk", "offset", "part")
-    boxes = index.join(tracks, ["session", "track"]).groupBy("session", "track").cogroup(chunks.groupBy("session", "track")).applyInArrow(trak, "session string, number int, handler string, length long, content binary")
+    known = chunks if entries is None else chunks.join(entries, ["session", "track"], "left")  # a few bytes beside a chunk's many
+    boxes = index.join(tracks, ["session", "track"]).groupBy("session", "track").cogroup(known.groupBy("session", "track")).applyInArrow(trak, "session string, number int, handler string, length long, content binary")
     movies = boxes.groupBy("session").applyInArrow(header, "session string, part long, content binary")
     brand = F.when(F.bool_and(F.col("codec").isin(*STANDARD)), F.lit(box(b"ftyp", b"mp42", bytes(4), b"mp42"))).otherwise(F.lit(box(b"ftyp", b"qt  ", bytes(4), b"qt  ")))
     first = tracks.groupBy("session").agg(brand.alias("content")).select("session", F.lit(0).cast("long").alias("part"), "content")
@@ -277,9 +290,12 @@ def encode_sessions(samples: DataFrame, chunk_bytes: int = 400 << 10, chunk_time
     return encode_parts(samples, chunk_bytes, chunk_time, **options).groupBy("session").agg(F.expr("listagg(content) within group (order by part)").alias("content"))
 
 
-def write_files(parts: DataFrame, folder: str, suffix: str = ".mp4") -> DataFrame:
+def write_files(parts: DataFrame, folder: str, suffix: str = ".mp4", combine: int = 1 << 20, preallocate: int = 0) -> DataFrame:
     """Writes each session's parts to ``folder/session`` and returns (session, path, bytes). Lazy: an action writes.
 
+    Parts are combined until ``combine`` bytes are there to write. With ``preallocate`` a file has that length from the start;
+    what its parts (``bytes``) leave of it becomes a free box, or is cut off if it is too short or too long (2 GB) for one.
+
     The folder has to be one that all executors see. A task streams parts in order to a name of its attempt and renames it
     when the file is whole, so a lost or repeated task leaves no half file under the final name.
     """
@@ -292,6 +308,11 @@ def write_files(parts: DataFrame, folder: str, suffix: str = ".mp4") -> DataFram
         mark = f".part-{context.partitionId()}-{context.taskAttemptId()}" if context else ".part"
 
         def finish() -> pa.RecordBatch:
+            rest = preallocate - size
+            if 8 <= rest < NARROW - 1:
+                out.write(struct.pack(">I4s", rest, b"free"))
+            elif rest > 0:
+                out.truncate(size)
             out.close()
             path = out.name.removesuffix(mark)
             os.replace(out.name, path)
@@ -305,7 +326,8 @@ def write_files(parts: DataFrame, folder: str, suffix: str = ".mp4") -> DataFram
                     if os.path.basename(s) != s or s in ("", ".", ".."):
                         raise ValueError(f"session {s!r} is no file name")
                     session, size = s, 0
-                    out = open(os.path.join(folder, s + suffix + mark), "wb")  # noqa: SIM115
+                    out = open(os.path.join(folder, s + suffix + mark), "wb", buffering=max(2, combine))  # noqa: SIM115
+                    out.truncate(preallocate)
                 size += out.write(content.as_buffer())
         if out:
             yield finish()

@@ -25,7 +25,7 @@ BUFFER, MOST_RATE = 15_000, 1_500_000
 MPEG2_BUFFER, MPEG2_RATE = 1 << 20, 0x7FFFFFFF
 #: Codes of wave formats by tag, names of pictures by code (others are YUV), no code for RGB.
 WAVE_CODES = {PCM: b"lpcm", ULAW: b"ulaw", ALAW: b"alaw"}
-PICTURE_NAMES = {b"\0\0\0\0": b"RGB Video", b"jpeg": b"Photo JPEG"}
+PICTURE_NAMES = {b"\0\0\0\0": b"RGB Video", b"jpeg": b"Photo JPEG", b"mjpa": b"Motion JPEG"}
 PICTURE_CODES = {"RGB24": b"\0\0\0\0", "RGB32": b"\0\0\0\0", "MJPG": b"jpeg"}
 
 TYPE = {"handler": "string", "code": "string", "tag": "int", "object_type": "int", "width": "int", "height": "int", "depth": "int", "channels": "int", "bits": "int", "rate": "int", "specific": "binary"}
@@ -40,9 +40,9 @@ def stream_box(track: int, object_type: int, kind: int, specific: bytes | None,
     return full(b"esds", compose_descriptor(3, struct.pack(">HB", track, 0) + compose_descriptor(4, config) + compose_descriptor(6, b"\2\x7f")))
 
 
-def picture(code: bytes, width: int, height: int, *inner: bytes, depth: int = 24, name: bytes = b"") -> bytes:
+def picture(code: bytes, width: int, height: int, *inner: bytes, depth: int = 24, name: bytes = b"", quality: int = 0) -> bytes:
     shape = struct.pack(">HHIIIH", width, height, 72 << 16, 72 << 16, 0, 1)
-    return box(code, bytes(6), struct.pack(">H", 1), bytes(16), shape, bytes([len(name)]) + name.ljust(31, b"\0"), struct.pack(">Hh", depth, -1), *inner)
+    return box(code, bytes(6), struct.pack(">H", 1), bytes(12), struct.pack(">I", quality), shape, bytes([len(name)]) + name.ljust(31, b"\0"), struct.pack(">Hh", depth, -1), *inner)
 
 
 def sound(code: bytes, channels: int, bits: int, rate: int, *inner: bytes, version: int = 0, compression: int = 0) -> bytes:
@@ -99,7 +99,8 @@ def described(track: int, t: dict, first: bytes) -> tuple[str, bytes] | None:
             made = "vide", picture(b"mp4v", *size, stream_box(track, n("object_type"), VISUAL, specific or None, MPEG2_BUFFER, MPEG2_RATE))
         case "picture":
             code = PICTURE_CODES.get(t.get("code") or "RGB24") or t["code"].encode("latin-1")
-            made = "vide", picture(code, *size, depth=n("depth", 24), name=PICTURE_NAMES.get(code, b"YUV Video"))
+            two = code == b"mjpa"  # pictures of two fields
+            made = "vide", picture(code, *size, *[box(b"fiel", b"\2\1")] * two, depth=n("depth", 24), name=PICTURE_NAMES.get(code, b"YUV Video"), quality=512 * two)
         case "aac":
             made = "soun", sound(b"mp4a", 2, 16, n("rate"), stream_box(track, AAC_AUDIO, AUDIO, aac_configuration(specific, n("rate"), n("channels", 2))))
         case "mp3":
